@@ -101,20 +101,29 @@ def fly(size: np.ndarray, p: np.ndarray, seed: np.uint64) -> np.ndarray:
 
 
 def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Gives the few probabilities left 0 or 1, so that the words stay nearest their expectation, then the documents."""
+    """Gives the few probabilities left 0 or 1. The words that are then missing, or too many, are made up by the one document whose size is nearest to them."""
     left = np.flatnonzero((p > 0) & (p < 1))
-    words, count = float((p[left] * size[left]).sum()), float(p[left].sum())
-    best = min(product((0.0, 1.0), repeat=len(left)), key=lambda v: (abs(float(np.dot(v, size[left])) - words), abs(sum(v) - count), v))
-    p = p.copy()
-    p[left] = best
-    return p
+    if not len(left):
+        return p
+    words, best = float((p * size).sum()), None
+    for outcome in product((0.0, 1.0), repeat=len(left)):
+        q = p.copy()
+        q[left] = outcome
+        gap = words - float((q * size).sum())
+        change = np.where(q > 0, -size, size)
+        k = int(np.argmin(np.abs(gap - change)))
+        if abs(gap - change[k]) < abs(gap):
+            q[k], gap = 1 - q[k], gap - change[k]
+        if best is None or abs(gap) < best[0]:
+            best = abs(gap), q
+    return best[1]
 
 
 def _flight(last: bool, seed: int):
     def run(block: pa.Table) -> pa.Table:
         ids = block.column("doc_id").fill_null(-1).to_numpy()
         size, p = block.column("size").to_numpy(), block.column("p").to_numpy()
-        order = np.lexsort((p, ids, mix(ids.astype(np.int64).view(U) ^ key(seed, 1)), -size))  # what is left at the end is small
+        order = np.lexsort((p, size, ids, mix(ids.astype(np.int64).view(U) ^ key(seed, 1))))
         block = block.take(pa.array(order))
         p = fly(size[order], p[order], mix(np.array([np.bitwise_xor.reduce(mix(ids.view(U)))], U) ^ key(seed, 2))[0])
         if last:
