@@ -16,7 +16,7 @@ smallest, are still in several components, so every linked pair ends in one comp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .columns import U, Sets, buffers, key, long_array, mix, pieces, shingle_sets, signed, total
 from .graph import components
 from .runtime import Workspace, documents
+from .stats import Bloom
 
 #: A class's largest size over its smallest.
 CLASS = 1.4
@@ -34,6 +35,8 @@ CLASS = 1.4
 BUCKET = 400_000
 #: Sets of a job.
 JOB = 512
+#: Signatures of a shingle, for a distance of as many parts as are alike.
+SIGNATURES = 1.8
 #: Sets under a node, and bits of a bitmap.
 LEAVES, BITS = 16, 2048
 _A, _B = key(11), key(12)
@@ -136,7 +139,7 @@ def measured(documents: DataFrame, words: int) -> DataFrame:
 
 def _identity(a: np.ndarray, b: np.ndarray, clashing: np.ndarray) -> np.ndarray:
     """One number for each set: the first hash, but where different sets share it, one of both hashes."""
-    return np.where(np.isin(a, clashing), mix(a ^ mix(b)), a) if len(clashing) else a
+    return np.where(np.isin(a, clashing), a ^ b, a) if len(clashing) else a
 
 
 def _routed(documents: DataFrame, words: int, like: Likeness, classes: list[Scheme], clashing: np.ndarray, buckets: int) -> DataFrame:
@@ -257,7 +260,7 @@ def _joined(like: Likeness):
         start = np.flatnonzero(np.concatenate(([True], job[1:] != job[:-1])))
         out = []
         for lo, hi in zip(start, np.append(start[1:], len(job)), strict=True):
-            sets = [data[at[k] : at[k + 1]].view(U) for k in range(lo, hi)] if not at[lo] % 8 else []
+            sets = [data[at[k] : at[k + 1]].view(U) for k in range(lo, hi)]
             out += [(int(ids[lo + a]), int(ids[lo + b])) for a, b in Tree(sets).join(like, label[lo:hi])]
         a, b = np.array(out, np.int64).reshape(-1, 2).T
         return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -265,84 +268,97 @@ def _joined(like: Likeness):
     return run
 
 
-def _sets_of(documents: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, n, set) of the wanted documents."""
+def connect(shared: DataFrame, sets_of: Callable[[Bloom], DataFrame], like: Likeness, work: Workspace, buckets: int) -> DataFrame:
+    """(id, component) of the sets that links connect to a smaller number, from the signatures that several sets share.
+
+    shared: (sig, pivot, member, size) with a row for each set of a signature. sets_of: the sets (id, n, set) that a filter of
+    their numbers lets through.
+    """
+    pairs = work.keep(shared.where("pivot <> member").select("pivot", "member").distinct(), "pairs")
+    counts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / JOB).cast("int").alias("chunks"))
+    chunked = pairs.join(counts, "pivot").withColumn("job", F.xxhash64("pivot", F.pmod(F.xxhash64("member"), F.col("chunks"))))
+    jobs = chunked.select("job", F.col("member").alias("id")).unionAll(chunked.select("job", F.col("pivot").alias("id")).distinct())
+    wanted = pairs.select(F.explode(F.array("pivot", "member")).alias("id")).distinct()
+    sets = work.keep(sets_of(Bloom.of(wanted, wanted.count())).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    links = work.keep(_links(jobs.withColumn("label", F.col("id")), sets, like, buckets), "links")
+    found = components(links, work)
+
+    # signatures whose sets other than the pivot, which has met them all, are still apart
+    open_rows = shared.where("size > 2 and pivot <> member").select("sig", F.col("member").alias("id")).join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("label"))
+    apart = open_rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("job")).where("low <> high")
+    apart = work.keep(apart.groupBy("job").agg(F.min(F.struct("sig", "size")).alias("one")).select("job", "one.sig", "one.size"), "apart")
+    if apart.isEmpty():
+        return found
+    again = open_rows.join(apart, "sig").select("job", "id", "label", F.ceil(F.col("size") / JOB).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    again = again.select("job", "id", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    again = again.select(F.xxhash64("job", F.least("block", "other"), F.greatest("block", "other")).alias("job"), "id", "label").distinct()
+    more = work.keep(_links(again, sets, like, buckets), "more")
+    return components(links.unionAll(more), work, "edges-again")
+
+
+def _links(members: DataFrame, sets: DataFrame, like: Likeness, buckets: int) -> DataFrame:
+    """members: (job, id, label)."""
+    rows = members.join(sets, "id").withColumn("bucket", F.pmod(F.xxhash64("job"), F.lit(buckets)).cast("int"))
+    return rows.groupBy("bucket").applyInArrow(_joined(like), "a long, b long")
+
+
+def _sets_of(documents: DataFrame, words: int, clashing: np.ndarray, wanted: Bloom) -> DataFrame:
+    """(id, n, set) of each text whose set the filter lets through, once a batch."""
+    sent = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, data = buffers(b.column("text"))
             for lo, hi in pieces(offsets):
                 s = shingle_sets(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]], words)
-                values = [s.values[s.bounds[k] : s.bounds[k + 1]].tobytes() for k in range(hi - lo)]
-                yield pa.record_batch([b.column("doc_id").slice(lo, hi - lo), long_array(np.diff(s.bounds)), pa.array(values, pa.binary())], names=["id", "n", "set"])
+                yield chosen(s, _identity(*identities(s), clashing), sent.value)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    return rows.mapInArrow(run, "id long, n long, set binary").dropDuplicates(["id"])
+    return documents.select("text").mapInArrow(run, "id long, n long, set binary")
 
 
-def _links(members: DataFrame, sets: DataFrame, like: Likeness, buckets: int) -> DataFrame:
-    """members: (job, id, label)."""
-    rows = members.join(sets, "id").withColumn("bucket", F.pmod(F.xxhash64("job"), F.lit(buckets)).cast("int"))
-    return rows.groupBy("bucket").applyInArrow(_joined(like), "a long, b long")
+def chosen(s: Sets, ident: np.ndarray, wanted: Bloom) -> pa.RecordBatch:
+    """The distinct sets, of one element at least, whose numbers the filter lets through."""
+    ident, at = np.unique(ident, return_index=True)
+    take = wanted.holds(ident) & (np.diff(s.bounds)[at] > 0)
+    ident, at = ident[take], at[take]
+    values = [s.values[s.bounds[k] : s.bounds[k + 1]].tobytes() for k in at]
+    return pa.record_batch([long_array(ident), long_array(np.diff(s.bounds)[at]), pa.array(values, pa.binary())], names=["id", "n", "set"])
 
 
 def similar_documents(documents: DataFrame, words: int = 5, like: Likeness = Likeness()) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id).
 
-    component_id is the smallest id that links lead to. Ids are distinct and not null. A null or empty text, or one without words,
-    has no shingles and no links; a text of fewer words than a shingle is one shingle. Rows repeated under one id are one
-    document with the same result each. An empty table gives no rows. Columns but doc_id and text are not read.
+    component_id is the smallest id that links lead to. A null or empty text, or one without words, has no shingles and no
+    links; a text of fewer words than a shingle is one shingle. Rows repeated under one id are rows of their own, linked where
+    their texts are; a null id never is the smallest. An empty table gives no rows. Columns but doc_id and text are not read.
     """
-    spark = documents.sparkSession
-    work = Workspace(spark, "jaccard")
+    work = Workspace(documents.sparkSession, "jaccard")
     sized = work.keep(measured(documents, words), "sized")
     some = sized.where("n > 0")
-    groups = some.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("b2"), F.max("n").alias("n"), F.sum("n").alias("sum_n"))
-    clashing = np.array([r.a for r in groups.where("b <> b2").select("a").collect()], np.int64).view(U)  # by chance, some 2**-65 of all pairs of sets
     most, shingles = some.agg(F.max("n"), F.sum("n")).first()
     if most is None:
         return sized.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    ident = F.when(F.col("a").isin([int(x) for x in signed(clashing)]), F.xxhash64("a", "b")).otherwise(F.col("a")) if len(clashing) else F.col("a")
+    clashes = some.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("b2")).where("b <> b2")
+    clashing = np.array([r.a for r in clashes.select("a").collect()], np.int64).view(U)  # by chance, some 2**-65 of all pairs of sets
     classes = schemes(like, like.partner(int(most)))
-    buckets = int(max(1, 0.35 * (like.whole - like.part) / 20 * 1.3 * shingles // BUCKET))
+    buckets = int(max(1, SIGNATURES * (like.whole - like.part) / like.part * shingles // BUCKET))
     shared = _routed(documents, words, like, classes, clashing, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "sig long, pivot long, member long, size long")
     shared = work.keep(shared, "shared")
-
-    def identified(df: DataFrame) -> DataFrame:
-        return df.withColumn("ident", ident)
-
-    first = identified(some).groupBy("ident").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    used = shared.select(F.explode(F.array("pivot", "member")).alias("ident")).distinct()
-    first_of = work.keep(first.join(used, "ident"), "first")
-    pairs = shared.where("pivot <> member").select("pivot", "member").distinct()
-    counts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / JOB).cast("int").alias("chunks"))
-    chunked = pairs.join(counts, "pivot").withColumn("job", F.xxhash64("pivot", F.pmod(F.xxhash64("member"), F.col("chunks"))))
-    jobs = chunked.select("job", F.col("member").alias("ident")).unionAll(chunked.select("job", F.col("pivot").alias("ident")).distinct())
-    sets = work.keep(_sets_of(documents, first_of.select("doc_id"), words), "sets")
-    job_buckets = int(max(1, shingles // 3_000_000))
-
-    def as_ids(df: DataFrame) -> DataFrame:
-        return df.join(first_of.select("ident", F.col("doc_id").alias("id")), "ident").drop("ident")
-
-    links = work.keep(_links(as_ids(jobs).withColumn("label", F.col("id")), sets, like, job_buckets), "links")
-    found = components(links, work)
-
-    # signatures whose sets other than the pivot, which has met them all, are still apart
-    labels = work.keep(first_of.join(found, first_of.doc_id == found.id, "left").select("ident", F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("label")), "labels")
-    open_rows = shared.where("size > 2 and pivot <> member").select("sig", F.col("member").alias("ident")).join(labels, "ident")
-    mixed = open_rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("ident")).alias("job")).where("low <> high")
-    mixed = work.keep(mixed.groupBy("job").agg(F.min(F.struct("sig", "size")).alias("one")).select("job", "one.sig", "one.size"), "mixed")
-    if not mixed.isEmpty():
-        again = open_rows.join(mixed, "sig").select("job", "id", "label", F.ceil(F.col("size") / JOB).cast("int").alias("blocks"))
-        block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        again = again.select("job", "id", "label", block.alias("block"), other)
-        again = again.select(F.xxhash64("job", F.least("block", "other"), F.greatest("block", "other")).alias("job"), "id", "label").distinct()
-        more = work.keep(_links(again, sets, like, job_buckets), "more")
-        found = components(links.unionAll(more), work, "edges-again")
-    merged = first_of.join(found, first_of.doc_id == found.id).select("ident", "component")
-    several = first.where("copies > 1").join(merged, "ident", "full").select("ident", F.coalesce("component", "doc_id").alias("component_id"))
-    out = identified(sized).withColumn("ident", F.when(F.col("n") > 0, F.col("ident"))).join(several, "ident", "left")
+    found = connect(shared, lambda wanted: _sets_of(documents, words, clashing, wanted), like, work, int(max(1, shingles // 3_000_000)))
+
+    ident = F.col("a")
+    if len(clashing):
+        ident = F.when(F.col("a").isin([int(x) for x in signed(clashing)]), F.col("a").bitwiseXOR(F.col("b"))).otherwise(ident)
+    rows = sized.withColumn("ident", F.when(F.col("n") > 0, ident))
+    first = rows.where("n > 0").groupBy("ident").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    first = first.join(found.withColumnRenamed("id", "ident"), "ident", "left")
+    # a component's smallest set number has no row in `found`
+    roots = found.select(F.col("component").alias("ident")).distinct().withColumn("root", F.col("ident"))
+    first = work.keep(first.join(roots, "ident", "left").withColumn("component", F.coalesce("component", "root")).where("copies > 1 or component is not null"), "first")
+    joined = first.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+    named = first.join(joined, "component", "left").select("ident", F.coalesce("least", "first").alias("component_id"))
+    out = rows.join(named, "ident", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -101,7 +101,7 @@ def fly(size: np.ndarray, p: np.ndarray, seed: np.uint64) -> np.ndarray:
 
 
 def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Gives the few probabilities left 0 or 1. The words that are then missing, or too many, are made up by the one document whose size is nearest to them."""
+    """Gives the few probabilities left 0 or 1. While words are then missing, or too many, the document whose size is nearest to them changes sides."""
     left = np.flatnonzero((p > 0) & (p < 1))
     if not len(left):
         return p
@@ -110,9 +110,11 @@ def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
         q = p.copy()
         q[left] = outcome
         gap = words - float((q * size).sum())
-        change = np.where(q > 0, -size, size)
-        k = int(np.argmin(np.abs(gap - change)))
-        if abs(gap - change[k]) < abs(gap):
+        while True:
+            change = np.where(q > 0, -size, size)
+            k = int(np.argmin(np.abs(gap - change)))
+            if abs(gap - change[k]) >= abs(gap):
+                break
             q[k], gap = 1 - q[k], gap - change[k]
         if best is None or abs(gap) < best[0]:
             best = abs(gap), q
