@@ -162,7 +162,11 @@ class Sets(NamedTuple):
 
 
 def sets(hashes: np.ndarray, row: np.ndarray, rows: int) -> Sets:
-    """The distinct hashes of each row (of 65 536 at most), cut to 48 bits."""
+    """The distinct hashes of each row, cut to 48 bits. row: of each hash, ascending."""
+    if rows > 1 << 16:
+        cut = int(np.searchsorted(row, 1 << 16))
+        a, b = sets(hashes[:cut], row[:cut], 1 << 16), sets(hashes[cut:], row[cut:] - (1 << 16), rows - (1 << 16))
+        return Sets(np.concatenate((a.values, b.values)), np.concatenate((a.bounds, b.bounds[1:] + a.bounds[-1])))
     full = (row.astype(U) << U(48)) | (hashes >> U(16))
     full.sort()
     if len(full):

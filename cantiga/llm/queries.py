@@ -9,7 +9,8 @@ from .jaccard import op1_ngram_jaccard
 from .mixing import op6_mixing
 from .packing import op8_packing
 from .quality_rules import op10_quality_rules
+from .substrings import op3_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op5_exact_dedup, op6_mixing, op7_quality_classifier, op8_packing, op9_chat_formatting, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_substring_dedup, op5_exact_dedup, op6_mixing, op7_quality_classifier, op8_packing, op9_chat_formatting, op10_quality_rules)}
 
 SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op9_chat_formatting": OP9_SQL}
