@@ -260,7 +260,9 @@ def _joined(like: Likeness):
         start = np.flatnonzero(np.concatenate(([True], job[1:] != job[:-1])))
         out = []
         for lo, hi in zip(start, np.append(start[1:], len(job)), strict=True):
-            sets = [data[at[k] : at[k + 1]].view(U) for k in range(lo, hi)]
+            values = np.zeros(((at[hi] - at[lo]) // 6, 8), np.uint8)
+            values[:, :6] = data[at[lo] : at[hi]].reshape(-1, 6)
+            sets = np.split(values.view(U).ravel(), (at[lo + 1 : hi] - at[lo]) // 6)
             out += [(int(ids[lo + a]), int(ids[lo + b])) for a, b in Tree(sets).join(like, label[lo:hi])]
         a, b = np.array(out, np.int64).reshape(-1, 2).T
         return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -279,8 +281,9 @@ def connect(shared: DataFrame, sets_of: Callable[[Bloom], DataFrame], like: Like
     chunked = pairs.join(counts, "pivot").withColumn("job", F.xxhash64("pivot", F.pmod(F.xxhash64("member"), F.col("chunks"))))
     jobs = chunked.select("job", F.col("member").alias("id")).unionAll(chunked.select("job", F.col("pivot").alias("id")).distinct())
     wanted = pairs.select(F.explode(F.array("pivot", "member")).alias("id")).distinct()
-    sets = work.keep(sets_of(Bloom.of(wanted, wanted.count())).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
-    links = work.keep(_links(jobs.withColumn("label", F.col("id")), sets, like, buckets), "links")
+    bloom = Bloom.of(wanted, wanted.count())
+    links = work.keep(_links(jobs.withColumn("label", F.col("id")), sets_of(bloom), like, buckets), "links")
+    work.free()
     found = components(links, work)
 
     # signatures whose sets other than the pivot, which has met them all, are still apart
@@ -293,13 +296,13 @@ def connect(shared: DataFrame, sets_of: Callable[[Bloom], DataFrame], like: Like
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     again = again.select("job", "id", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     again = again.select(F.xxhash64("job", F.least("block", "other"), F.greatest("block", "other")).alias("job"), "id", "label").distinct()
-    more = work.keep(_links(again, sets, like, buckets), "more")
+    more = work.keep(_links(again, sets_of(bloom), like, buckets), "more")
     return components(links.unionAll(more), work, "edges-again")
 
 
 def _links(members: DataFrame, sets: DataFrame, like: Likeness, buckets: int) -> DataFrame:
     """members: (job, id, label)."""
-    rows = members.join(sets, "id").withColumn("bucket", F.pmod(F.xxhash64("job"), F.lit(buckets)).cast("int"))
+    rows = members.join(sets.dropDuplicates(["id"]), "id").withColumn("bucket", F.pmod(F.xxhash64("job"), F.lit(buckets)).cast("int"))
     return rows.groupBy("bucket").applyInArrow(_joined(like), "a long, b long")
 
 
@@ -318,11 +321,12 @@ def _sets_of(documents: DataFrame, words: int, clashing: np.ndarray, wanted: Blo
 
 
 def chosen(s: Sets, ident: np.ndarray, wanted: Bloom) -> pa.RecordBatch:
-    """The distinct sets, of one element at least, whose numbers the filter lets through."""
+    """The distinct sets, of one element at least, whose numbers the filter lets through; six bytes an element."""
     ident, at = np.unique(ident, return_index=True)
     take = wanted.holds(ident) & (np.diff(s.bounds)[at] > 0)
     ident, at = ident[take], at[take]
-    values = [s.values[s.bounds[k] : s.bounds[k + 1]].tobytes() for k in at]
+    packed = s.values.view(np.uint8).reshape(-1, 8)[:, :6]
+    values = [packed[s.bounds[k] : s.bounds[k + 1]].tobytes() for k in at]
     return pa.record_batch([long_array(ident), long_array(np.diff(s.bounds)[at]), pa.array(values, pa.binary())], names=["id", "n", "set"])
 
 
@@ -345,6 +349,7 @@ def similar_documents(documents: DataFrame, words: int = 5, like: Likeness = Lik
     buckets = int(max(1, SIGNATURES * (like.whole - like.part) / like.part * shingles // BUCKET))
     shared = _routed(documents, words, like, classes, clashing, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "sig long, pivot long, member long, size long")
     shared = work.keep(shared, "shared")
+    work.free()
     found = connect(shared, lambda wanted: _sets_of(documents, words, clashing, wanted), like, work, int(max(1, shingles // 3_000_000)))
 
     ident = F.col("a")
