@@ -9,6 +9,7 @@ above the point that best separates good from bad labels.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from . import labelled
 from .columns import U, buffers, key, mix, pieces, words
 from .ngrams import BUCKETS, grams, sums
-from .runtime import Workspace, documents
+from .runtime import documents, filtered
 from .stats import summed
 
 #: Labelled documents that the target model and k are taken from at most. Raw counts cover every document.
@@ -57,30 +58,6 @@ def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
     return -np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
 
 
-def score(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE, seed: int = 0) -> DataFrame:
-    """(doc_id, log_weight, key, label): every document once, label null where the sample has none."""
-    few = F.broadcast(labelled.sample(labels, rows))
-    docs = documents.select("doc_id", "text").join(few, "doc_id", "left")
-    word, byte = log_ratios(summed(docs, ["text", "label"], _count, 4 * BUCKETS))
-    sent = documents.sparkSession.sparkContext.broadcast((word, byte))
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, byte = sent.value
-        for b in batches:
-            offsets, data = buffers(b.column("text"))
-            out = []
-            for lo, hi in pieces(offsets):
-                o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
-                of_words, _, of_bytes, _ = sums(grams(o, d, words(o, d)), word, byte, hi - lo)
-                out.append(of_words + of_bytes)
-            ids = b.column("doc_id").cast(pa.int64())
-            weight = np.concatenate(out) if out else np.zeros(0)
-            noise = gumbel(ids.fill_null(-1).to_numpy(), seed)
-            yield pa.record_batch([ids, pa.array(weight), pa.array(weight + noise), b.column("label")], names=["doc_id", "log_weight", "key", "label"])
-
-    return docs.mapInArrow(weigh, "doc_id long, log_weight double, key double, label int")
-
-
 def best_cut(keys: np.ndarray, good: np.ndarray) -> float:
     """The middle of the gap that splits good from bad labels with the least balanced error; -inf with labels of one kind."""
     if good.all() or not good.any():
@@ -93,19 +70,62 @@ def best_cut(keys: np.ndarray, good: np.ndarray) -> float:
     return -np.inf if at == 0 else float(keys[-1] + 1) if at == len(keys) else float((keys[at - 1] + keys[at]) / 2)
 
 
-def resample(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE, seed: int = 0) -> DataFrame:
-    """(doc_id, log_weight, key, kept): the Gumbel top-k of the documents; k is read from the labels, see `best_cut`.
+class Fitted(NamedTuple):
+    word: np.ndarray  #: log ratio of each bucket
+    byte: np.ndarray
+    cut: float  #: the k-th largest sum of log weight and Gumbel number
+    seed: int
+
+    def weigh(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Log weight and key of each row."""
+        offsets, data = buffers(b.column("text"))
+        out = [np.zeros(0)]
+        for lo, hi in pieces(offsets):
+            o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
+            of_words, _, of_bytes, _ = sums(grams(o, d, words(o, d)), self.word, self.byte, hi - lo)
+            out.append(of_words + of_bytes)
+        weight = np.concatenate(out)
+        return weight, weight + gumbel(b.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(), self.seed)
+
+
+def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE, seed: int = 0) -> Fitted:
+    """Counts both models, and reads k off the labelled documents' keys."""
+    few = F.broadcast(labelled.sample(labels, rows))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    word, byte = log_ratios(summed(docs.join(few, "doc_id", "left"), ["text", "label"], _count, 4 * BUCKETS))
+    sent = documents.sparkSession.sparkContext.broadcast(Fitted(word, byte, -np.inf, seed))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column("doc_id"), pa.array(sent.value.weigh(b)[1]), b.column("label")], names=["doc_id", "key", "label"])
+
+    seen = docs.join(few, "doc_id").mapInArrow(keys, "doc_id long, key double, label int").groupBy("doc_id").agg(F.min("key").alias("key"), F.min("label").alias("label")).collect()
+    return Fitted(word, byte, best_cut(np.array([r.key for r in seen]), np.array([r.label > 0 for r in seen], bool)), seed)
+
+
+def resample(documents: DataFrame, fitted: Fitted) -> DataFrame:
+    """(doc_id, log_weight, key, kept): the Gumbel top-k of the documents.
 
     The k-th largest key is the cut itself, so no sort is needed. A null or empty text has weight 0 and its Gumbel number;
     repeated ids have equal numbers and stay or go by their texts. Without labels of both kinds all documents stay. Columns but
     doc_id and text are not read. An empty table gives no rows.
     """
-    spark = documents.sparkSession
-    scored = Workspace(spark, "importance").keep(score(documents, labels, rows, seed), "scored")
-    seen = scored.where("label is not null").select("key", "label").limit(2 * rows).toPandas()  # ids of a sample of `rows`
-    cut = best_cut(seen["key"].to_numpy(float), seen["label"].to_numpy() > 0)
-    return scored.select("doc_id", "log_weight", "key", (F.col("key") >= F.lit(cut)).alias("kept"))
+    sent = documents.sparkSession.sparkContext.broadcast(fitted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            weight, keys = sent.value.weigh(b)
+            yield pa.record_batch([b.column("doc_id"), pa.array(weight), pa.array(keys), pa.array(keys >= sent.value.cut)], names=["doc_id", "log_weight", "key", "kept"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, log_weight double, key double, kept boolean")
+
+
+def kept_rows(documents: DataFrame, fitted: Fitted) -> DataFrame:
+    """The rows of `documents`, all columns, that `resample` keeps."""
+    sent = documents.sparkSession.sparkContext.broadcast(fitted)
+    return filtered(documents, lambda b: sent.value.weigh(b)[1] >= sent.value.cut)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample(documents(spark, sf_dir), labelled.labels(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    return resample(docs, fit(docs, labelled.labels(spark, sf_dir)))

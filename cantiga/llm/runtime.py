@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,5 +45,15 @@ class Workspace:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def filtered(rows: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows, all columns, for which `keep` is true, chosen in Arrow batches without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b), pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
