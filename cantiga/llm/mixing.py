@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 #: No source and no document is taken more often.
 MOST = 3
 #: Documents that fly together.
-BLOCK = 20_000
+BLOCK = 2_000
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
