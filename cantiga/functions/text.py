@@ -9,8 +9,10 @@ import string
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What the alignment normaliser makes of single characters.
 TO_SPACE = "-_/\\—–‐‑“”„‟     、。，！？·•…"
@@ -103,8 +105,8 @@ def _accents() -> tuple[str, str]:
 ACCENTED, PLAIN = _accents()
 
 
-@F.pandas_udf("string")
-def score_normalize_exact(texts):  # noqa: ANN001, ANN201
+@F.pandas_udf(StringType())
+def score_normalize_exact(texts: pd.Series) -> pd.Series:
     """`score_normalize` with the whole compatibility decomposition, for texts beyond the Latin blocks."""
     import re
 
