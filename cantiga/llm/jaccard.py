@@ -69,7 +69,7 @@ def schemes(like: Likeness, most: int) -> list[Scheme]:
     out, low = [], 1
     while low <= most:
         high = max(low, int(low * CLASS))
-        differ = int(2 * high - 2 * like.needed(2 * high))
+        differ = 2 * high * (like.whole - like.part) // (like.whole + like.part)
         if not differ:
             out.append(Scheme(low, high, 0, 0))
         else:
