@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse
-from .columns import U, buffers
+from .columns import buffers, prefix_sums, span_hashes
 from .runtime import Workspace, documents
 
 #: Distinct digests of a shard, about.
@@ -31,10 +31,10 @@ def normalised(column: str) -> Column:
     return F.regexp_replace(F.coalesce(column, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
 
 
-def _keys(digests: pa.Array) -> np.ndarray:
-    """The first 64 bits of each digest."""
+def _keys(digests: pa.ChunkedArray) -> np.ndarray:
+    """64-bit hashes of the digests."""
     at, data = buffers(digests)
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)[at[:-1]]).view(U).ravel() if len(at) > 1 else np.zeros(0, U)
+    return span_hashes(prefix_sums(data), at[:-1], at[1:])
 
 
 def _filter_of(shard: pa.Table) -> pa.Table:

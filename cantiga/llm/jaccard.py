@@ -5,13 +5,14 @@ whose largest size is u, two sets of the wanted similarity differ in at most k e
 universe of hashes one at least has the same elements in both. The hash of a part's elements is a signature: each set has
 about 0.3 signatures an element, and every pair that can link shares one. No set and no frequency is gathered for this.
 
-Trees. Sets that share a signature meet in jobs of bounded size, each around the smallest id. A job's sets, ordered by size,
-are the leaves of a signature tree, whose nodes hold the OR of the token bitmaps below, the range of sizes, and the most
+Trees. Sets related by shared signatures meet in one job, each once. Families beyond a bound are dealt into jobs of
+bounded size, each around the smallest set of a signature. A job's sets, ordered by size, are the leaves of a signature tree, whose nodes hold the OR of the token bitmaps below, the range of sizes, and the most
 tokens that fell on one another. Two nodes are descended together unless their sizes, or the common bits of their bitmaps,
 leave less overlap than a link needs, or all their sets are known to be connected. Leaf pairs are compared exactly.
 
-Contract. Links within a job become a spanning forest; a second round of jobs takes the signatures whose sets, other than the
-smallest, are still in several components, so every linked pair ends in one component. Equal sets are one set throughout.
+Contract. Links within a job become a spanning forest. In families beyond the bound a second round of jobs takes the
+signatures whose sets, other than the smallest, are still in several components, so every linked pair ends in one component.
+Equal sets are one set throughout.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .stats import Bloom
 CLASS = 1.4
 #: Signatures of a bucket, about.
 BUCKET = 400_000
-#: Sets of a job.
-JOB = 512
+#: Sets that are related by shared signatures, directly or not, and meet in one job; larger families meet in jobs of JOB sets.
+FAMILY, JOB = 2048, 512
 #: Signatures of a shingle, for a distance of as many parts as are alike.
 SIGNATURES = 1.8
 #: Sets under a node, and bits of a bitmap.
@@ -277,19 +278,28 @@ def connect(shared: DataFrame, sets_of: Callable[[Bloom], DataFrame], like: Like
     their numbers lets through.
     """
     pairs = work.keep(shared.where("pivot <> member").select("pivot", "member").distinct(), "pairs")
-    counts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / JOB).cast("int").alias("chunks"))
-    chunked = pairs.join(counts, "pivot").withColumn("job", F.xxhash64("pivot", F.pmod(F.xxhash64("member"), F.col("chunks"))))
-    jobs = chunked.select("job", F.col("member").alias("id")).unionAll(chunked.select("job", F.col("pivot").alias("id")).distinct())
     wanted = pairs.select(F.explode(F.array("pivot", "member")).alias("id")).distinct()
-    bloom = Bloom.of(wanted, wanted.count())
+    related = components(pairs.select(F.col("pivot").alias("a"), F.col("member").alias("b")), work, "families-edges")
+    each = wanted.join(related, "id", "left").select("id", F.coalesce("component", "id").alias("family"))
+    each = work.keep(each.join(each.groupBy("family").agg(F.count("*").alias("n")), "family"), "families")
+    jobs, large = each.where(F.col("n") <= FAMILY).select(F.col("family").alias("job"), "id"), each.where(F.col("n") > FAMILY).select("id")
+    spread = not large.isEmpty()
+    if spread:
+        stars = pairs.join(large.withColumnRenamed("id", "member"), "member")
+        counts = stars.groupBy("pivot").agg(F.ceil(F.count("*") / JOB).cast("int").alias("chunks"))
+        stars = stars.join(counts, "pivot").withColumn("job", F.xxhash64("pivot", F.pmod(F.xxhash64("member"), F.col("chunks"))))
+        jobs = jobs.unionAll(stars.select("job", F.col("member").alias("id"))).unionAll(stars.select("job", F.col("pivot").alias("id")).distinct())
+    bloom = Bloom.of(wanted, each.count())
     links = work.keep(_links(jobs.withColumn("label", F.col("id")), sets_of(bloom), like, buckets), "links")
     work.free()
     found = components(links, work)
+    if not spread:
+        return found
 
-    # signatures whose sets other than the pivot, which has met them all, are still apart
-    open_rows = shared.where("size > 2 and pivot <> member").select("sig", F.col("member").alias("id")).join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("label"))
+    # in large families: signatures whose sets other than the pivot, which has met them all, are still apart
+    open_rows = shared.where("size > 2 and pivot <> member").select("sig", F.col("member").alias("id")).join(large, "id", "left_semi").join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("label"))
     apart = open_rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("job")).where("low <> high")
-    apart = work.keep(apart.groupBy("job").agg(F.min(F.struct("sig", "size")).alias("one")).select("job", "one.sig", "one.size"), "apart")
+    apart = work.keep(apart.groupBy("job", "size").agg(F.min("sig").alias("sig")), "apart")
     if apart.isEmpty():
         return found
     again = open_rows.join(apart, "sig").select("job", "id", "label", F.ceil(F.col("size") / JOB).cast("int").alias("blocks"))
