@@ -149,19 +149,17 @@ def _routed(documents: DataFrame, words: int, like: Likeness, classes: list[Sche
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, data = buffers(b.column("text"))
-            pairs, seen = [], np.zeros(0, U)
+            pairs, seen = [np.zeros((0, 2), U)], set()
             for lo, hi in pieces(offsets):
                 s = shingle_sets(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]], words)
                 ident = _identity(*identities(s), clashing)
                 fresh = np.zeros(hi - lo, bool)
-                fresh[np.unique(ident, return_index=True)[1]] = True
-                fresh &= ~np.isin(ident, seen)
-                seen = np.concatenate((seen, ident[fresh]))
+                for k, x in enumerate(ident.tolist()):  # each set once a batch
+                    fresh[k] = x not in seen
+                    seen.add(x)
                 s = Sets(s.values[np.repeat(fresh, np.diff(s.bounds))], np.concatenate(([0], np.cumsum(np.diff(s.bounds) * fresh))))
                 sig, row = signatures(s, like, classes)
                 pairs.append(np.stack((sig, ident[row]), 1))
-            if not pairs:
-                continue
             pairs = np.concatenate(pairs)
             to = ((pairs[:, 0] >> U(32)) * U(buckets)) >> U(32)
             order = np.argsort(to, kind="stable")

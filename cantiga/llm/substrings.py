@@ -101,7 +101,7 @@ def _scan(documents: DataFrame, bands: int, rows: int, buckets: int, places: boo
         for b in batches:
             offsets, data = buffers(b.column("text"))
             ids = b.column("doc_id").fill_null(-(1 << 63)).to_numpy()
-            found, seen = [], np.zeros(0, U)
+            found, fresh_ident, fresh_code = [], [np.zeros(0, U)], [np.zeros((0, bands), U)]
             for lo, hi in _pieces(offsets):
                 o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
                 w, first, bounds, s = _paragraph_sets(o, d)
@@ -115,12 +115,12 @@ def _scan(documents: DataFrame, bands: int, rows: int, buckets: int, places: boo
                     number = np.arange(len(ident)) - bounds[row]
                     found.append(np.stack((ident, ids[lo + row].view(U), (begin.astype(U) << U(32)) | end.astype(U), (number.astype(U) << U(32)) | np.diff(first).astype(U)), 1))
                     continue
-                fresh = np.zeros(len(ident), bool)
-                fresh[np.unique(ident, return_index=True)[1]] = True
-                fresh &= ~np.isin(ident, seen)
-                seen = np.concatenate((seen, ident[fresh]))
-                code = band_hashes(s, bands, rows)[fresh]
-                found.append(np.stack((code.ravel(), np.repeat(ident[fresh], bands)), 1))
+                own, at = np.unique(ident, return_index=True)
+                fresh_ident.append(own)
+                fresh_code.append(band_hashes(s, bands, rows)[at])
+            if not places:
+                ident, at = np.unique(np.concatenate(fresh_ident), return_index=True)
+                found.append(np.stack((np.concatenate(fresh_code)[at].ravel(), np.repeat(ident, bands)), 1))
             if found:
                 found = np.concatenate(found)
                 some, packed = _packed(found, found[:, 0], buckets)
