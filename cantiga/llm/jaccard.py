@@ -35,7 +35,7 @@ CLASS = 1.4
 #: Signatures of a bucket, about.
 BUCKET = 400_000
 #: Sets that are related by shared signatures, directly or not, and meet in one job; larger families meet in jobs of JOB sets.
-FAMILY, JOB = 2048, 512
+FAMILY, JOB = 8192, 512
 #: Signatures of a shingle, for a distance of as many parts as are alike.
 SIGNATURES = 1.8
 #: Sets under a node, and bits of a bitmap.
