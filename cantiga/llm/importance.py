@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed word and byte n-grams are counted: one from documents labelled good (the target), one from
-all documents (the raw text). A document's log weight is the log ratio of its likelihoods, plus a Gumbel number drawn from a
+Two generative models over hashed word and byte n-grams are counted: one of all documents (the raw text), and one of good text
+(the target), from the raw counts and the labelled documents' shares of good text. A document's log weight is the log ratio of its likelihoods, plus a Gumbel number drawn from a
 hash of its id; the k documents of largest sum are an importance sample without replacement. k is the number of documents
 above the point that best separates good from bad labels.
 """
@@ -24,31 +24,40 @@ from .stats import summed
 
 #: Labelled documents that the target model and k are taken from at most. Raw counts cover every document.
 SAMPLE = 20_000
-SMOOTHING = 1.0
+#: Pseudo-counts of a bucket.
+SMOOTHING = 5.0
+#: A document's log weight is the sum over its n n-grams times TEMPER / (n + SHORT), so that length alone moves no document.
+TEMPER, SHORT = 300.0, 50.0
 
 
 def _count(b: pa.RecordBatch, into: np.ndarray) -> None:
-    """Raw word, raw byte, target word and target byte n-grams, one after the other."""
+    """Word and byte n-grams of all texts, of those labelled good, and of all labelled ones, one after the other."""
     offsets, data = buffers(b.column("text"))
-    label = b.column("label").fill_null(0).to_numpy(zero_copy_only=False) > 0
+    label = b.column("label").fill_null(-1).to_numpy(zero_copy_only=False)
+    parts = into.reshape(3, 2, BUCKETS)
     for lo, hi in pieces(offsets):
         o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
         g = grams(o, d, words(o, d))
-        into[:BUCKETS] += np.bincount(g.word, minlength=BUCKETS)
-        into[BUCKETS : 2 * BUCKETS] += np.bincount(g.byte, minlength=BUCKETS)
-        good = label[lo:hi]
-        if good.any():
-            into[2 * BUCKETS : 3 * BUCKETS] += np.bincount(g.word[good[g.word_row]], minlength=BUCKETS)
-            into[3 * BUCKETS :] += np.bincount(g.byte[np.repeat(good, np.diff(g.byte_row_bounds))], minlength=BUCKETS)
+        parts[0, 0] += np.bincount(g.word, minlength=BUCKETS)
+        parts[0, 1] += np.bincount(g.byte, minlength=BUCKETS)
+        for part, some in ((parts[1], label[lo:hi] > 0), (parts[2], label[lo:hi] >= 0)):
+            if some.any():
+                part[0] += np.bincount(g.word[some[g.word_row]], minlength=BUCKETS)
+                part[1] += np.bincount(g.byte[np.repeat(some, np.diff(g.byte_row_bounds))], minlength=BUCKETS)
 
 
 def log_ratios(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per word bucket and per byte bucket: log of target over raw probability, both smoothed by the raw shares."""
+    """Per word bucket and per byte bucket: log of target over raw probability.
+
+    The target model takes of each raw count the share that is good where it is labelled, drawn towards the overall share by
+    `SMOOTHING`. So n-grams that no label covers, such as those of a language without labels, weigh about nothing.
+    """
     out = []
-    for raw, target in ((counts[:BUCKETS], counts[2 * BUCKETS : 3 * BUCKETS]), (counts[BUCKETS : 2 * BUCKETS], counts[3 * BUCKETS :])):
-        share = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
-        near = (target + SMOOTHING * BUCKETS * share) / (target.sum() + SMOOTHING * BUCKETS)
-        out.append(np.log(near / share).astype(np.float32))
+    for raw, good, seen in zip(*counts.reshape(3, 2, BUCKETS), strict=True):
+        overall = good.sum() / max(1.0, seen.sum())
+        raw = raw + 1
+        target = raw * (good + SMOOTHING * overall) / (seen + SMOOTHING) if overall else raw
+        out.append((np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32))
     return out[0], out[1]
 
 
@@ -82,8 +91,8 @@ class Fitted(NamedTuple):
         out = [np.zeros(0)]
         for lo, hi in pieces(offsets):
             o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
-            of_words, _, of_bytes, _ = sums(grams(o, d, words(o, d)), self.word, self.byte, hi - lo)
-            out.append(of_words + of_bytes)
+            of_words, n_words, of_bytes, n_bytes = sums(grams(o, d, words(o, d)), self.word, self.byte, hi - lo)
+            out.append((of_words + of_bytes) * TEMPER / (n_words + n_bytes + SHORT))
         weight = np.concatenate(out)
         return weight, weight + gumbel(b.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(), self.seed)
 
@@ -92,7 +101,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE, seed: int =
     """Counts both models, and reads k off the labelled documents' keys."""
     few = F.broadcast(labelled.sample(labels, rows))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    word, byte = log_ratios(summed(docs.join(few, "doc_id", "left"), ["text", "label"], _count, 4 * BUCKETS))
+    word, byte = log_ratios(summed(docs.join(few, "doc_id", "left"), ["text", "label"], _count, 6 * BUCKETS))
     sent = documents.sparkSession.sparkContext.broadcast(Fitted(word, byte, -np.inf, seed))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
