@@ -5,7 +5,7 @@ whose largest size is u, two sets of the wanted similarity differ in at most k e
 universe of hashes one at least has the same elements in both. The hash of a part's elements is a signature: each set has
 about 0.3 signatures an element, and every pair that can link shares one. No set and no frequency is gathered for this.
 
-Trees. Sets related by shared signatures meet in one job, each once. Families beyond a bound are dealt into jobs of
+Trees. Sets of a size class that are related by shared signatures meet in one job, each once. Families beyond a bound are dealt into jobs of
 bounded size, each around the smallest set of a signature. A job's sets, ordered by size, are the leaves of a signature tree, whose nodes hold the OR of the token bitmaps below, the range of sizes, and the most
 tokens that fell on one another. Two nodes are descended together unless their sizes, or the common bits of their bitmaps,
 leave less overlap than a link needs, or all their sets are known to be connected. Leaf pairs are compared exactly.
@@ -34,8 +34,8 @@ from .stats import Bloom
 CLASS = 1.4
 #: Signatures of a bucket, about.
 BUCKET = 400_000
-#: Sets that are related by shared signatures, directly or not, and meet in one job; larger families meet in jobs of JOB sets.
-FAMILY, JOB = 8192, 512
+#: Sets of a size class that are related by shared signatures, directly or not, and meet in one job; larger families meet in jobs of JOB sets.
+FAMILY, JOB = 4096, 512
 #: Signatures of a shingle, for a distance of as many parts as are alike.
 SIGNATURES = 1.8
 #: Sets under a node, and bits of a bitmap.
@@ -112,6 +112,7 @@ def signatures(s: Sets, like: Likeness, classes: list[Scheme]) -> tuple[np.ndarr
             half = [np.bincount(cell, ((s.values[at] * m) >> U(38)).astype(np.float64), cells).astype(U) for m in (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))]
             count = np.bincount(cell, minlength=cells)
             sig = mix(half[0] ^ (half[1] << U(30)) ^ mix(np.tile(np.arange(parts, dtype=U), len(rows)) + key(14, int(scheme))))
+            sig = (sig & ~U(63)) | U(min(63, scheme))  # the class can be read off a signature
             empty = count == 0
             row = np.repeat(np.arange(len(rows)), parts)
             told = ~empty | (np.bincount(row[empty], minlength=len(rows)) >= spare)[row]
@@ -272,22 +273,24 @@ def _joined(like: Likeness):
 def connect(shared: DataFrame, sets_of: Callable[[Bloom], DataFrame], like: Likeness, work: Workspace, buckets: int) -> DataFrame:
     """(id, component) of the sets that links connect to a smaller number, from the signatures that several sets share.
 
-    shared: (sig, pivot, member, size) with a row for each set of a signature. sets_of: the sets (id, n, set) that a filter of
+    shared: (sig, pivot, member, size, kind) with a row for each set of a signature; families are those of signatures of one kind,
+    so what chains among small sets does not tie large ones together. sets_of: the sets (id, n, set) that a filter of
     their numbers lets through.
     """
-    pairs = work.keep(shared.where("pivot <> member").select("pivot", "member").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("pivot", "member")).alias("id")).distinct()
-    related = components(pairs.select(F.col("pivot").alias("a"), F.col("member").alias("b")), work, "families-edges")
-    each = wanted.join(related, "id", "left").select("id", F.coalesce("component", "id").alias("family"))
+    pairs = work.keep(shared.where("pivot <> member").select("kind", "pivot", "member").distinct(), "pairs")
+    wanted = pairs.select("kind", F.explode(F.array("pivot", "member")).alias("id")).distinct()
+    edges = pairs.select(F.xxhash64("kind", "pivot").alias("a"), F.xxhash64("kind", "member").alias("b"))
+    related = components(edges, work, "families-edges").withColumnRenamed("id", "node")
+    each = wanted.withColumn("node", F.xxhash64("kind", "id")).join(related, "node", "left").select("kind", "id", F.coalesce("component", "node").alias("family"))
     each = work.keep(each.join(each.groupBy("family").agg(F.count("*").alias("n")), "family"), "families")
-    jobs, large = each.where(F.col("n") <= FAMILY).select(F.col("family").alias("job"), "id"), each.where(F.col("n") > FAMILY).select("id")
+    jobs, large = each.where(F.col("n") <= FAMILY).select(F.col("family").alias("job"), "id"), each.where(F.col("n") > FAMILY).select("kind", "id")
     spread = not large.isEmpty()
     if spread:
-        stars = pairs.join(large.withColumnRenamed("id", "member"), "member")
-        counts = stars.groupBy("pivot").agg(F.ceil(F.count("*") / JOB).cast("int").alias("chunks"))
-        stars = stars.join(counts, "pivot").withColumn("job", F.xxhash64("pivot", F.pmod(F.xxhash64("member"), F.col("chunks"))))
+        stars = pairs.join(large.withColumnRenamed("id", "member"), ["kind", "member"])
+        counts = stars.groupBy("kind", "pivot").agg(F.ceil(F.count("*") / JOB).cast("int").alias("chunks"))
+        stars = stars.join(counts, ["kind", "pivot"]).withColumn("job", F.xxhash64("kind", "pivot", F.pmod(F.xxhash64("member"), F.col("chunks"))))
         jobs = jobs.unionAll(stars.select("job", F.col("member").alias("id"))).unionAll(stars.select("job", F.col("pivot").alias("id")).distinct())
-    bloom = Bloom.of(wanted, each.count())
+    bloom = Bloom.of(wanted.select("id").distinct(), each.count())
     links = work.keep(_links(jobs.withColumn("label", F.col("id")), sets_of(bloom), like, buckets), "links")
     work.free()
     found = components(links, work)
@@ -295,7 +298,7 @@ def connect(shared: DataFrame, sets_of: Callable[[Bloom], DataFrame], like: Like
         return found
 
     # in large families: signatures whose sets other than the pivot, which has met them all, are still apart
-    open_rows = shared.where("size > 2 and pivot <> member").select("sig", F.col("member").alias("id")).join(large, "id", "left_semi").join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("label"))
+    open_rows = shared.where("size > 2 and pivot <> member").select("sig", "kind", F.col("member").alias("id")).join(large, ["kind", "id"], "left_semi").join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("label"))
     apart = open_rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("job")).where("low <> high")
     apart = work.keep(apart.groupBy("job", "size").agg(F.min("sig").alias("sig")), "apart")
     if apart.isEmpty():
@@ -356,7 +359,7 @@ def similar_documents(documents: DataFrame, words: int = 5, like: Likeness = Lik
     classes = schemes(like, like.partner(int(most)))
     buckets = int(max(1, SIGNATURES * (like.whole - like.part) / like.part * shingles // BUCKET))
     shared = _routed(documents, words, like, classes, clashing, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "sig long, pivot long, member long, size long")
-    shared = work.keep(shared, "shared")
+    shared = work.keep(shared.withColumn("kind", F.col("sig").bitwiseAND(63).cast("int")), "shared")
     work.free()
     found = connect(shared, lambda wanted: _sets_of(documents, words, clashing, wanted), like, work, int(max(1, shingles // 3_000_000)))
 

@@ -176,7 +176,7 @@ def repeated_passages(documents: DataFrame, like: Likeness = Likeness(), least_w
     buckets = int(max(1, n_bytes / 6 / BUCKET_WORDS))
     many = int(max(1, n_bytes / 6 / 20 * bands / BUCKET))
     shared = _scan(documents, bands, rows, many, places=False).repartition(many, "bucket").groupBy("bucket").applyInArrow(_shared, "sig long, pivot long, member long, size long")
-    shared = work.keep(shared, "shared")
+    shared = work.keep(shared.withColumn("kind", F.lit(0)), "shared")
     work.free()
     found = connect(shared, lambda wanted: _sets_of(documents, wanted), like, work, buckets)
     roots = found.select(F.col("component").alias("id"), "component").distinct()

@@ -56,7 +56,7 @@ def brute_components(rows, k, part, whole):
 
 
 @pytest.mark.parametrize(("k", "part"), [(4, 85), (5, 80)])
-@pytest.mark.parametrize("family", [2, 8192])
+@pytest.mark.parametrize("family", [2, 4096])
 def test_components_equal_brute_force(documents, monkeypatch, k, part, family):
     monkeypatch.setattr(jaccard, "FAMILY", family)
     rows = corpus()
