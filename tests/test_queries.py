@@ -1,8 +1,11 @@
 """Every query of the catalogue against its SQL on the smallest tables, where these are there."""
 
+import numbers
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from cantiga.queries import QUERIES, SQL
@@ -15,7 +18,9 @@ def rows(df):
     columns = sorted(df.columns)
 
     def plain(v):
-        return None if v is None or v != v else float(v) + 0.0 if isinstance(v, float) else v.item() if hasattr(v, "item") else v
+        if pd.isna(v):
+            return None
+        return float(v) + 0.0 if isinstance(v, numbers.Number) and not isinstance(v, bool | np.bool_) else v
 
     return sorted((tuple(map(plain, r)) for r in df[columns].itertuples(index=False)), key=repr)
 
