@@ -164,9 +164,10 @@ def _occurrences(places: pa.Table, linked: pa.Table) -> pa.Table:
 def repeated_passages(documents: DataFrame, like: Likeness = Likeness(), least_words: int = LEAST_WORDS, recall: float = RECALL) -> DataFrame:
     """One row per repeated passage of a document: (doc_id, start, stop, n_words, first_doc_id, n_docs, removed).
 
-    start and stop are code points of the text. A passage is a run of neighbouring paragraphs, of `least_words` together, that each
-    occur in several documents; `first_doc_id` is the smallest document of any of them and n_docs the most documents of one.
-    The passage that is nowhere earlier is kept (removed is false), the others are removed.
+    start and stop are code points of the text. Neighbouring paragraphs, of `least_words` together, that each occur in several
+    documents are a run; a passage is a part of a run that is kept (removed is false) or removed as a whole. Paragraphs that are
+    nowhere earlier are kept, the others removed; `first_doc_id` is the smallest document of any of them and n_docs the most
+    documents of one.
     Null and empty texts have none, nor has an empty table. Rows repeated under one id are one document, and repeat nothing
     by themselves. Columns but doc_id and text are not read.
     """
@@ -188,12 +189,14 @@ def repeated_passages(documents: DataFrame, like: Likeness = Likeness(), least_w
 
     each = both.groupBy("cluster", "doc_id").agg(F.lit(1).alias("one")).groupBy("cluster").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_docs")).where("n_docs > 1")
     spread = both.dropDuplicates(["doc_id", "number", "start", "cluster"]).join(each, "cluster")
-    run = F.col("number") - F.row_number().over(Window.partitionBy("doc_id").orderBy("number"))
-    passages = spread.withColumn("run", run).groupBy("doc_id", "run").agg(
+    spread = spread.withColumn("removed", F.col("first_doc_id") != F.col("doc_id"))
+    place = lambda *by: F.col("number") - F.row_number().over(Window.partitionBy(*by).orderBy("number"))
+    spread = spread.withColumn("run", place("doc_id")).withColumn("part", place("doc_id", "removed"))
+    spread = spread.withColumn("together", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(F.col("together") >= least_words)
+    passages = spread.groupBy("doc_id", "run", "removed", "part").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"), F.max("n_docs").alias("n_docs"),
-        F.max(F.col("first_doc_id") != F.col("doc_id")).alias("removed"),
     )
-    return passages.where(F.col("n_words") >= least_words).select("doc_id", "start", "stop", "n_words", "first_doc_id", "n_docs", "removed")
+    return passages.select("doc_id", "start", "stop", "n_words", "first_doc_id", "n_docs", "removed")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

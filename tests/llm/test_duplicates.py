@@ -169,3 +169,13 @@ def test_planted_passages_are_found_and_clean_documents_left_alone(documents):
     assert all(as_line in texts[r.doc_id][r.start : r.stop] for r in got if 1000 <= r.doc_id < 2000)
     assert all(texts[r.doc_id][r.start : r.stop] in inside for r in got if 2000 <= r.doc_id < 3000)
     assert repeated_passages(documents([])).count() == 0
+
+
+def test_first_occurrences_stay_beside_older_passages(documents):
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(n))
+    a, b = prose(40), prose(40)
+    rows = [(1, f"{b}\n{prose(20)}"), (2, f"{a}\n{b}"), (3, f"{prose(20)}\n{a}")]
+    texts = dict(rows)
+    got = repeated_passages(documents(rows)).collect()
+    assert sorted((r.doc_id, texts[r.doc_id][r.start : r.stop].strip(), r.first_doc_id, r.removed) for r in got) == sorted([(1, b, 1, False), (2, a, 2, False), (2, b, 1, True), (3, a, 2, True)])
