@@ -4,6 +4,10 @@ A paragraph is a line; a line of more than `LONG` words is cut where the hash of
 neighbours, so a passage inside it is cut alike wherever it stands. Paragraphs have MinHash bands tuned for a recall; those that
 collide in a band are joined and compared exactly by the Jaccard similarity of their 5-word shingles, and linked paragraphs
 form components. A component in several documents is repeated text: every occurrence but its first is to be removed.
+
+Beside the paragraphs, wherever lines end, windows of words are compared exactly. The least of some neighbouring windows is an
+anchor, so a long enough run of equal words has a common anchor wherever it stands. Where a document's repeated anchors end, all
+windows nearby are looked up in all documents, so that a passage reaches to its last equal word.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import U, Sets, Words, buffers, key, long_array, mix, pieces, sets, signed, windows, words
@@ -112,7 +116,7 @@ def _scan(documents: DataFrame, bands: int, rows: int, buckets: int, places: boo
                     row = np.searchsorted(bounds, np.arange(len(ident)), "right") - 1
                     code = np.concatenate(([0], np.cumsum((d & 0xC0) != 0x80)))
                     begin, end = code[w.starts[first[:-1]]] - code[o[row]], code[w.ends[first[1:] - 1]] - code[o[row]]
-                    number = np.arange(len(ident)) - bounds[row]
+                    number = first[:-1] - w.bounds[row]
                     found.append(np.stack((ident, ids[lo + row].view(U), (begin.astype(U) << U(32)) | end.astype(U), (number.astype(U) << U(32)) | np.diff(first).astype(U)), 1))
                     continue
                 own, at = np.unique(ident, return_index=True)
@@ -161,13 +165,208 @@ def _occurrences(places: pa.Table, linked: pa.Table) -> pa.Table:
     return pa.table([long_array(c) for c in columns], names=["doc_id", "number", "start", "stop", "words", "cluster"])
 
 
+def reach(least_words: int) -> tuple[int, int]:
+    """Words of a window, and the windows of which the least is an anchor: `least_words` words have one, and neighbouring anchors' windows meet."""
+    return (least_words + 2) // 2, least_words + 1 - (least_words + 2) // 2
+
+
+def _slid(f: np.ufunc, x: np.ndarray, many: int) -> np.ndarray:
+    """f over each `many` neighbours."""
+    span = 1
+    while span < many:
+        step = min(span, many - span)
+        x = f(x[:-step], x[step:])
+        span += step
+    return x
+
+
+def anchors(h: np.ndarray, row: np.ndarray, among: int) -> np.ndarray:
+    """Whether a window is the least of some `among` neighbouring windows of its row. row: of each window, ascending."""
+    if len(h) < among:
+        return np.zeros(len(h), bool)
+    least = np.where(row[: len(h) - among + 1] == row[among - 1 :], _slid(np.minimum, h, among), U(0))
+    return _slid(np.maximum, np.pad(least, among - 1), among) == h
+
+
+def _windows(b: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words, np.ndarray, np.ndarray]]:
+    """Of each piece of the batch: the windows' hashes, first words and rows, the rows' ids, words, offsets and bytes."""
+    offsets, data = buffers(b.column("text"))
+    ids = b.column("doc_id").fill_null(-(1 << 63)).to_numpy()
+    for lo, hi in _pieces(offsets):
+        o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
+        w = words(o, d)
+        if len(w.hashes):
+            h, at = windows(w.hashes, w.bounds, k, short=False)
+            yield h, at, np.searchsorted(w.bounds, at, "right") - 1, ids[lo:hi], w, o, d
+
+
+def _anchors_of(texts: DataFrame, k: int, among: int) -> DataFrame:
+    """(hash, low, high): the anchors of each batch with the smallest and largest document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, docs = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+            for h, _, row, ids, *_ in _windows(b, k):
+                take = anchors(h, row, among)
+                found.append(h[take])
+                docs.append(ids[row[take]])
+            found, docs = np.concatenate(found), np.concatenate(docs)
+            order = np.argsort(found, kind="stable")
+            own, at = np.unique(found[order], return_index=True)
+            low, high = (f.reduceat(docs[order], at) if len(at) else docs for f in (np.minimum, np.maximum))
+            yield pa.record_batch([long_array(own), long_array(low), long_array(high)], names=["hash", "low", "high"])
+
+    return texts.mapInArrow(run, "hash long, low long, high long")
+
+
+def _ends_of(texts: DataFrame, repeated: Bloom, k: int, among: int) -> DataFrame:
+    """(hash): the windows before the first and after the last of neighbouring repeated anchors."""
+    sent = texts.sparkSession.sparkContext.broadcast(repeated)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.zeros(0, U)]
+            for h, _, row, *_ in _windows(b, k):
+                at = np.flatnonzero(anchors(h, row, among))
+                at = at[sent.value.holds(h[at])]
+                apart = (np.diff(at) > among) | (row[at[1:]] != row[at[:-1]])
+                for side, end in ((1, np.append(apart, True)), (-1, np.append(True, apart))):
+                    for step in range(1, among if len(at) else 1):
+                        near = at[end] + side * step
+                        inside = (near >= 0) & (near < len(h))
+                        near, own = near[inside], at[end][inside]
+                        found.append(h[near[row[near] == row[own]]])
+            yield pa.record_batch([long_array(np.unique(np.concatenate(found)))], names=["hash"])
+
+    return texts.mapInArrow(run, "hash long")
+
+
+def _places_of(texts: DataFrame, wanted: Bloom, k: int, buckets: int) -> DataFrame:
+    """(bucket, rows): the windows that the filter lets through and where they are, as `_scan` has paragraphs."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.zeros((0, 4), U)]
+            for h, at, row, ids, w, o, d in _windows(b, k):
+                take = sent.value.holds(h)
+                h, at, row = h[take], at[take], row[take]
+                code = np.concatenate(([0], np.cumsum((d & 0xC0) != 0x80)))
+                begin, end = code[w.starts[at]] - code[o[row]], code[w.ends[at + k - 1]] - code[o[row]]
+                found.append(np.stack((h, ids[row].view(U), (begin.astype(U) << U(32)) | end.astype(U), ((at - w.bounds[row]).astype(U) << U(32)) | U(k)), 1))
+            found = np.concatenate(found)
+            some, packed = _packed(found, found[:, 0], buckets)
+            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "rows"])
+
+    return texts.mapInArrow(run, "bucket int, rows binary")
+
+
+_UNITS = "doc_id long, number long, start long, stop long, words long, first_doc_id long, n_docs long"
+
+
+def _in_several(places: pa.Table) -> pa.Table:
+    """The windows that occur in several documents."""
+    rows = np.concatenate([np.frombuffer(r.as_buffer(), U).reshape(-1, 4) for chunk in places.column("rows").chunks for r in chunk])
+    doc = signed(np.ascontiguousarray(rows[:, 1]))
+    order = np.lexsort((doc, rows[:, 0]))
+    rows, doc = rows[order], doc[order]
+    new = np.append(True, rows[1:, 0] != rows[:-1, 0])[: len(rows)]
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(rows)))
+    fresh = new | np.append(True, doc[1:] != doc[:-1])[: len(rows)]
+    n_docs = np.repeat(np.add.reduceat(fresh.astype(np.int64), start) if len(start) else start, size)
+    first = np.repeat(doc[start], size)
+    take, low = n_docs > 1, U(0xFFFFFFFF)
+    columns = [doc, rows[:, 3] >> U(32), rows[:, 2] >> U(32), rows[:, 2] & low, rows[:, 3] & low, first, n_docs]
+    return pa.table([long_array(c[take]) for c in columns], names=["doc_id", "number", "start", "stop", "words", "first_doc_id", "n_docs"])
+
+
+def _unions(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first span of each union of spans that overlap or touch. Spans are in order of `begin`."""
+    return np.flatnonzero(np.append(True, begin[1:] > np.maximum.accumulate(end)[:-1])[: len(begin)])
+
+
+def _passages(least_words: int):
+    def run(units: pa.Table) -> pa.Table:
+        doc, number, start, stop, n, first, n_docs = (units.column(c).to_numpy() for c in ("doc_id", "number", "start", "stop", "words", "first_doc_id", "n_docs"))
+        names, rank = np.unique(doc, return_inverse=True)
+        begin = (rank << 32) | number
+        order = np.argsort(begin, kind="stable")
+        begin, end, start, stop, doc, first, n_docs = begin[order], (begin + n)[order], start[order], stop[order], doc[order], first[order], n_docs[order]
+
+        # runs of repeated words, long enough together
+        at = _unions(begin, end)
+        long = (np.maximum.reduceat(end, at) - begin[at] if len(at) else at) >= least_words
+        take = np.repeat(long, np.diff(np.append(at, len(begin))))
+        begin, end, start, stop, doc, first, n_docs = (x[take] for x in (begin, end, start, stop, doc, first, n_docs))
+        if not len(begin):
+            return pa.table([pa.array([], pa.int64())] * 6 + [pa.array([], pa.bool_())], names=_NAMES)
+        at = _unions(begin, end)
+        runs = np.stack((begin[at], np.maximum.reduceat(end, at), start[at], np.maximum.reduceat(stop, at)), 1)
+
+        # what an earlier document has
+        old = first != doc
+        b, e = begin[old], end[old]
+        at = _unions(b, e)
+        if len(at):
+            gone = np.stack((b[at], np.maximum.reduceat(e, at), start[old][at], np.maximum.reduceat(stop[old], at)), 1)
+            least, most = np.minimum.reduceat(first[old], at), np.maximum.reduceat(n_docs[old], at)
+        else:
+            gone, least, most = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        # the rest of the runs
+        left = np.concatenate((runs[:, [0, 2]], gone[:, [1, 3]]))
+        right = np.concatenate((gone[:, [0, 2]], runs[:, [1, 3]]))
+        left, right = left[np.argsort(left[:, 0], kind="stable")], right[np.argsort(right[:, 0], kind="stable")]
+        some = left[:, 0] < right[:, 0]
+        left, right = left[some], right[some]
+        kept = np.stack((left[:, 0], right[:, 0], left[:, 1], right[:, 1]), 1)
+        # where a kept paragraph begins or ends beside a removed one, the white space between is in neither
+        b, e, t, p, m = (x[~old] for x in (begin, end, start, stop, n_docs))
+        lo, hi = np.searchsorted(kept[:, 1], b, "right"), np.searchsorted(kept[:, 0], e, "left")
+        times = np.maximum(hi - lo, 0)
+        which = np.repeat(lo - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum()) if len(lo) else np.zeros(0, np.int64)
+        b, e, t, p, m = (np.repeat(x, times) for x in (b, e, t, p, m))
+        docs = np.zeros(len(kept), np.int64)
+        np.maximum.at(docs, which, m)
+        same = b == kept[which, 0]
+        kept[which[same], 2] = t[same]
+        same = e == kept[which, 1]
+        kept[which[same], 3] = p[same]
+
+        every = np.concatenate((kept, gone))
+        own = names[every[:, 0] >> 32]
+        flag = np.repeat([False, True], (len(kept), len(gone)))
+        first = np.where(flag, np.concatenate((np.zeros(len(kept), np.int64), least)), own)
+        columns = [own, every[:, 2], every[:, 3], every[:, 1] - every[:, 0], first, np.concatenate((docs, most))]
+        return pa.table([*(long_array(np.ascontiguousarray(c)) for c in columns), pa.array(flag)], names=_NAMES)
+
+    return run
+
+
+_NAMES = ["doc_id", "start", "stop", "n_words", "first_doc_id", "n_docs", "removed"]
+
+
+def repeated_windows(documents: DataFrame, least_words: int, work: Workspace, buckets: int) -> DataFrame:
+    """(doc_id, number, start, stop, words, first_doc_id, n_docs): windows that cover every run of `least_words` words or more that several documents have."""
+    k, among = reach(least_words)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    repeated = work.keep(_anchors_of(texts, k, among).groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("hash"), "anchors")
+    ends = work.keep(_ends_of(texts, Bloom.of(repeated, repeated.count()), k, among), "ends")
+    wanted = repeated.unionAll(ends)
+    places = _places_of(texts, Bloom.of(wanted, wanted.count()), k, buckets).repartition(buckets, "bucket")
+    out = work.keep(places.groupBy("bucket").applyInArrow(_in_several, _UNITS), "windows")
+    work.free()
+    return out
+
+
 def repeated_passages(documents: DataFrame, like: Likeness = Likeness(), least_words: int = LEAST_WORDS, recall: float = RECALL) -> DataFrame:
     """One row per repeated passage of a document: (doc_id, start, stop, n_words, first_doc_id, n_docs, removed).
 
-    start and stop are code points of the text. Neighbouring paragraphs, of `least_words` together, that each occur in several
-    documents are a run; a passage is a part of a run that is kept (removed is false) or removed as a whole. Paragraphs that are
-    nowhere earlier are kept, the others removed; `first_doc_id` is the smallest document of any of them and n_docs the most
-    documents of one.
+    start and stop are code points of the text. Neighbouring paragraphs and windows of words, of `least_words` words together, that
+    each occur in several documents are a run; a passage is a part of a run that is kept (removed is false) or removed as a whole.
+    Words that no earlier document has are kept, the others removed; `first_doc_id` is the smallest document of any paragraph or
+    window of the passage and n_docs the most documents of one.
     Null and empty texts have none, nor has an empty table. Rows repeated under one id are one document, and repeat nothing
     by themselves. Columns but doc_id and text are not read.
     """
@@ -189,14 +388,10 @@ def repeated_passages(documents: DataFrame, like: Likeness = Likeness(), least_w
 
     each = both.groupBy("cluster", "doc_id").agg(F.lit(1).alias("one")).groupBy("cluster").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_docs")).where("n_docs > 1")
     spread = both.dropDuplicates(["doc_id", "number", "start", "cluster"]).join(each, "cluster")
-    spread = spread.withColumn("removed", F.col("first_doc_id") != F.col("doc_id"))
-    place = lambda *by: F.col("number") - F.row_number().over(Window.partitionBy(*by).orderBy("number"))
-    spread = spread.withColumn("run", place("doc_id")).withColumn("part", place("doc_id", "removed"))
-    spread = spread.withColumn("together", F.sum("words").over(Window.partitionBy("doc_id", "run"))).where(F.col("together") >= least_words)
-    passages = spread.groupBy("doc_id", "run", "removed", "part").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"), F.max("n_docs").alias("n_docs"),
-    )
-    return passages.select("doc_id", "start", "stop", "n_words", "first_doc_id", "n_docs", "removed")
+    exact = repeated_windows(documents, least_words, work, buckets)
+    units = spread.select(*exact.columns).unionAll(exact).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    schema = "doc_id long, start long, stop long, n_words long, first_doc_id long, n_docs long, removed boolean"
+    return units.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_passages(least_words), schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,3 +179,50 @@ def test_first_occurrences_stay_beside_older_passages(documents):
     texts = dict(rows)
     got = repeated_passages(documents(rows)).collect()
     assert sorted((r.doc_id, texts[r.doc_id][r.start : r.stop].strip(), r.first_doc_id, r.removed) for r in got) == sorted([(1, b, 1, False), (2, a, 2, False), (2, b, 1, True), (3, a, 2, True)])
+
+
+def test_passages_in_middling_lines_and_over_moved_line_breaks_are_exact(documents):
+    rng = random.Random(14)
+    prose = lambda n: [f"u{rng.randint(0, 10**7)}" for _ in range(n)]
+    inside, moved, mixed = prose(51), prose(70), prose(60)
+    wrapped = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    rows = [(10 + i, " ".join(prose(10 + 6 * i) + inside + prose(30 - 6 * i))) for i in range(3)]
+    rows += [(20 + i, f"{' '.join(prose(20))} {wrapped(moved, n)} {' '.join(prose(20))}") for i, n in enumerate((9, 13, 70))]
+    rows += [(30, " ".join(prose(9) + mixed + prose(9))), (31, " ".join(prose(150) + mixed + prose(150)))]
+    rows += [(40 + i, wrapped(prose(300), 20 + i)) for i in range(5)] + list(EDGES)
+    texts = dict(rows)
+    got = repeated_passages(documents(rows)).collect()
+    wanted = [(10 + i, inside, 10, 3) for i in range(3)] + [(20 + i, moved, 20, 3) for i in range(3)] + [(30 + i, mixed, 30, 2) for i in range(2)]
+    found = [(r.doc_id, texts[r.doc_id][r.start : r.stop].split(), r.first_doc_id, r.n_docs, r.n_words, r.removed) for r in got]
+    assert sorted(found) == sorted((d, w, f, n, len(w), d != f) for d, w, f, n in wanted)
+
+
+def test_every_repeated_run_of_words_is_covered(documents):
+    rng = random.Random(15)
+    pool = [[f"p{k}w{j}" for j in range(rng.choice([30, 33, 47, 80]))] for k in range(12)]
+    rows = []
+    for i in range(1, 40):
+        parts = [rng.choice(pool)[rng.randint(0, 3) :] if rng.random() < 0.5 else [f"x{rng.randint(0, 10**8)}" for _ in range(rng.randint(1, 60))] for _ in range(6)]
+        rows.append((i, "".join(w + rng.choice([" ", " ", " ", "\n"]) for part in parts for w in part)))
+    texts = {i: t.split() for i, t in rows}
+    runs = {}
+    for i, w in texts.items():
+        for j in range(len(w) - 29):
+            runs.setdefault(tuple(w[j : j + 30]), []).append((i, j))
+    wanted, gone = set(), set()
+    for at in runs.values():
+        if len({i for i, _ in at}) > 1:
+            wanted |= {(i, j + k) for i, j in at for k in range(30)}
+            gone |= {(i, j + k) for i, j in at for k in range(30) if i != min(at)[0]}
+    got, removed = set(), set()
+    for r in repeated_passages(documents(rows)).collect():
+        t = dict(rows)[r.doc_id]
+        a = len(t[: r.start].split())
+        assert len(t[r.start : r.stop].split()) == r.n_words
+        span = {(r.doc_id, a + k) for k in range(r.n_words)}
+        assert not span & got
+        got |= span
+        removed |= span if r.removed else set()
+    assert wanted <= got and gone <= removed
+    kept = {texts[i][j] for i, j in got - removed} | {w for i in texts for j, w in enumerate(texts[i]) if (i, j) not in got}
+    assert {texts[i][j] for i, j in removed} <= kept
