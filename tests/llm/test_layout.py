@@ -2,6 +2,7 @@ import hashlib
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,20 +14,38 @@ from .test_columns import split
 from .test_duplicates import brute_components, brute_copies, corpus
 
 
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return packing.Encoder(packing.default_tokenizer())
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text("aB'ts1 \n\t\r\x0b\x1c\xa0　é日🎉<|>endoftext\x01.", max_size=40))
-def test_ids_equal_those_of_the_whole_text(encoder, text):
-    ids = struct.unpack(f"<{len(encoder.encode(text)) // 4}I", encoder.encode(text))
-    assert list(ids) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("aB'tsrevl1 \n\t\r\x0b\x1c\xa0　é日🎉<|>endoftext\x01.", max_size=40), st.sampled_from(["ab <|endoftext|> cd", "<|endoftext|>", "x" * 200 + " y", "a\xa0  b", "a \xa0b\xa0", "l'été 's we'll you're've'm", "it''s 'tis a'd's", "“a” — b…", "1½²x"])), max_size=6))
+def test_ids_are_those_of_the_unaltered_library(encoder, library, texts):
+    ids, bounds = encoder.encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [library(t) + [0] for t in texts]
 
 
-def test_pieces_give_the_documents_back_with_little_padding(documents, encoder):
-    rows = corpus(40) + [(5000 + k, " ".join(f"long{j}" for j in range(700))) for k in range(5)]
+def test_what_is_remembered_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 3)
+    encoder = packing.Encoder(packing.default_tokenizer())
+    for k in range(20):
+        texts = [f"word{k} and{j} others, too" for j in range(4)]
+        ids, bounds = encoder.encode(pa.array(texts))
+        assert ids.tolist() == [x for t in texts for x in library(t) + [0]] and bounds[-1] == len(ids)
+    assert len(encoder.slots) < 40
+
+
+def test_pieces_give_the_documents_back_with_little_padding(documents, library):
+    rows = corpus(40) + [(4000, "ab <|endoftext|> cd")] + [(5000 + k, " ".join(f"long{j}" for j in range(700))) for k in range(5)]
     got = packing.pack(documents(rows), packing.default_tokenizer(), with_ids=True).collect()
     by_doc, by_sequence = {}, {}
     for r in got:
@@ -35,7 +54,7 @@ def test_pieces_give_the_documents_back_with_little_padding(documents, encoder):
         assert r.length == len(r.ids) <= 1024 and zlib.crc32(struct.pack(f"<{r.length}I", *r.ids)) == r.ids_crc32
     for i, t in rows:
         if [x[0] for x in rows].count(i) == 1:
-            whole = encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+            whole = library(t) + [0]
             parts = sorted(by_doc[i], key=lambda r: r.start)
             assert [x for r in parts for x in r.ids] == whole and all(r.doc_tokens == len(whole) for r in parts)
     for rs in by_sequence.values():
@@ -69,8 +88,6 @@ TEXT = st.one_of(st.none(), st.text("ab<|\\>%\nimé日_start", max_size=25))
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.one_of(st.none(), st.sampled_from(["user", "assistant", "a%|\n<|"])), TEXT), min_size=1, max_size=8))
 def test_turns_come_back_from_the_formatted_bytes(turns):
-    import pyarrow as pa
-
     buffer, at, begin, end = chat.assemble(pa.array([r for r, _ in turns], pa.string()), pa.array([t for _, t in turns], pa.string()))
     raw = buffer.to_pybytes()
     assert chat.parse(raw.decode()) == [(r or "", t or "") for r, t in turns]
