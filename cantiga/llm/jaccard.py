@@ -22,7 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import U, Sets, buffers, key, long_array, mix, pieces, shingle_sets, signed, total
@@ -34,8 +34,11 @@ from .stats import Bloom
 CLASS = 1.4
 #: Signatures of a bucket, about.
 BUCKET = 400_000
-#: Sets of a size class that are related by shared signatures, directly or not, and meet in one job; larger families meet in jobs of JOB sets.
-FAMILY, JOB = 4096, 512
+#: Sets that meet in one job, and their elements: a family of sets that are related by shared signatures, directly or not, or
+#: a part of a larger family.
+FAMILY, JOB, ELEMENTS = 4096, 512, 2_000_000
+#: Elements of the sets of one partition of jobs, about.
+PART = 4_000_000
 #: Signatures of a shingle, for a distance of as many parts as are alike.
 SIGNATURES = 1.8
 #: Sets under a node, and bits of a bitmap.
@@ -161,31 +164,61 @@ def _routed(documents: DataFrame, words: int, like: Likeness, classes: list[Sche
                 s = Sets(s.values[np.repeat(fresh, np.diff(s.bounds))], np.concatenate(([0], np.cumsum(np.diff(s.bounds) * fresh))))
                 sig, row = signatures(s, like, classes)
                 pairs.append(np.stack((sig, ident[row]), 1))
-            pairs = np.concatenate(pairs)
-            to = ((pairs[:, 0] >> U(32)) * U(buckets)) >> U(32)
-            order = np.argsort(to, kind="stable")
-            bounds = np.searchsorted(to[order], np.arange(buckets + 1, dtype=U))
-            some = np.flatnonzero(np.diff(bounds))
-            pairs = pairs[order]
-            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([pairs[bounds[k] : bounds[k + 1]].tobytes() for k in some], pa.binary())], names=["bucket", "rows"])
+            yield packed_stars(np.concatenate(pairs), buckets)
 
-    return documents.select("text").mapInArrow(run, "bucket int, rows binary")
+    return documents.select("text").mapInArrow(run, STARS)
 
 
-def _shared(bucket: pa.Table) -> pa.Table:
-    """(sig, pivot, member): the sets of each signature that several have; the pivot is the one of least number."""
-    rows = np.concatenate([np.frombuffer(r.as_buffer(), U).reshape(-1, 2) for chunk in bucket.column("rows").chunks for r in chunk])
+#: Signatures with the one set of a batch that stands for all of the batch's sets of that signature; and the others: signature, that set, set.
+STARS = "bucket int, rows binary, local binary"
+
+
+def packed_stars(pairs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """pairs: signature and set. However many sets share a signature, each batch sends one of them to the signature's bucket."""
+    order = np.lexsort((pairs[:, 1].view(np.int64), pairs[:, 0]))
+    pairs = pairs[order]
+    first = np.append(True, pairs[1:, 0] != pairs[:-1, 0])[: len(pairs)]
+    fresh = first | np.append(True, pairs[1:, 1] != pairs[:-1, 1])[: len(pairs)]
+    start = np.flatnonzero(first)
+    pivot = np.repeat(pairs[start, 1], np.diff(np.append(start, len(pairs))))
+    rest = fresh & ~first
+    some, rows = packed(pairs[first], pairs[first, 0], buckets)
+    others, local = packed(np.stack((pairs[rest, 0], pivot[rest], pairs[rest, 1]), 1), mix(pairs[rest, 0] ^ pairs[rest, 1]), buckets)
+    bucket, none = np.append(some, others).astype(np.int32), [b""]
+    return pa.record_batch([pa.array(bucket), pa.array(rows + none * len(local), pa.binary()), pa.array(none * len(rows) + local, pa.binary())], names=["bucket", "rows", "local"])
+
+
+def packed(rows: np.ndarray, by: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """The buckets that rows fall into by a hash, and the bytes of each one's rows."""
+    to = ((by >> U(32)) * U(buckets)) >> U(32)
+    order = np.argsort(to, kind="stable")
+    bounds = np.searchsorted(to[order], np.arange(buckets + 1, dtype=U))
+    some, rows = np.flatnonzero(np.diff(bounds)), rows[order]
+    return some, [rows[bounds[k] : bounds[k + 1]].tobytes() for k in some]
+
+
+def unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return buffers(column)[1].view(U).reshape(-1, width)
+
+
+SHARED = "sig long, pivot long, member long"
+
+
+def shared_of(bucket: pa.Table) -> pa.Table:
+    """(sig, pivot, member): every set of each signature that several have is tied to a pivot, directly or by the one of its batch."""
+    rows = unpacked(bucket.column("rows"), 2)
     sig, ident = rows[:, 0], signed(np.ascontiguousarray(rows[:, 1]))
     order = np.lexsort((ident, sig))
     sig, ident = sig[order], ident[order]
-    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (ident[1:] != ident[:-1])))
+    new = np.append(True, (sig[1:] != sig[:-1]) | (ident[1:] != ident[:-1]))[: len(sig)]
     sig, ident = sig[new], ident[new]
-    start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
     size = np.diff(np.append(start, len(sig)))
-    many = np.repeat(size > 1, size)
-    pivot = np.repeat(ident[start], size)
-    count = np.repeat(size, size)
-    return pa.table([long_array(x[many]) for x in (sig, pivot, ident, count)], names=["sig", "pivot", "member", "size"])
+    many = np.ones(len(sig), bool)
+    many[start] = False
+    local = unpacked(bucket.column("local"), 3)
+    columns = zip((sig[many], np.repeat(ident[start], size)[many], ident[many]), local.T, strict=True)
+    return pa.table([long_array(np.concatenate((a.view(U), b))) for a, b in columns], names=["sig", "pivot", "member"])
 
 
 class Tree:
@@ -252,69 +285,108 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _joined(like: Likeness):
-    def run(jobs: pa.Table) -> pa.Table:
-        """All jobs of a bucket, one after the other."""
-        jobs = jobs.sort_by([("job", "ascending"), ("n", "ascending"), ("id", "ascending")])
-        job, ids, label = (jobs.column(c).to_numpy() for c in ("job", "id", "label"))
-        at, data = buffers(jobs.column("set"))
-        start = np.flatnonzero(np.concatenate(([True], job[1:] != job[:-1])))
-        out = []
-        for lo, hi in zip(start, np.append(start[1:], len(job)), strict=True):
-            values = np.zeros(((at[hi] - at[lo]) // 6, 8), np.uint8)
-            values[:, :6] = data[at[lo] : at[hi]].reshape(-1, 6)
-            sets = np.split(values.view(U).ravel(), (at[lo + 1 : hi] - at[lo]) // 6)
-            out += [(int(ids[lo + a]), int(ids[lo + b])) for a, b in Tree(sets).join(like, label[lo:hi])]
-        a, b = np.array(out, np.int64).reshape(-1, 2).T
-        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of job and size. One job is held at a time."""
+        now, ids, labels, sets, links = None, [], [], [], []
+
+        def join() -> None:
+            if len(ids) > 1:
+                links.extend((ids[a], ids[b]) for a, b in Tree(sets).join(like, np.array(labels)))
+
+        for batch in batches:
+            job, each, label = (batch.column(c).to_numpy() for c in ("job", "id", "label"))
+            at, data = buffers(batch.column("set"))
+            start = np.flatnonzero(np.append(True, job[1:] != job[:-1])[: len(job)])
+            for lo, hi in zip(start.tolist(), np.append(start[1:], len(job)).tolist(), strict=True):
+                if job[lo] != now:
+                    join()
+                    now, ids, labels, sets = job[lo], [], [], []
+                values = np.zeros(((at[hi] - at[lo]) // 6, 8), np.uint8)
+                values[:, :6] = data[at[lo] : at[hi]].reshape(-1, 6)
+                ids += each[lo:hi].tolist()
+                labels += label[lo:hi].tolist()
+                sets += np.split(values.view(U).ravel(), (at[lo + 1 : hi] - at[lo]) // 6)
+            if links:
+                yield _pairs(links)
+                links = []
+        join()
+        yield _pairs(links)
 
     return run
 
 
-def connect(shared: DataFrame, sets_of: Callable[[Bloom], DataFrame], like: Likeness, work: Workspace, buckets: int) -> DataFrame:
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _parts_of(n: Column, weight: Column, share: int = 1) -> Column:
+    """The jobs that so many sets of so many elements together are dealt into."""
+    return F.greatest(F.ceil(n * share / JOB), F.ceil(weight * share / ELEMENTS)).cast("int")
+
+
+def connect(shared: DataFrame, sets_of: Callable[[Bloom], DataFrame], like: Likeness, work: Workspace) -> DataFrame:
     """(id, component) of the sets that links connect to a smaller number, from the signatures that several sets share.
 
-    shared: (sig, pivot, member, size, kind) with a row for each set of a signature; families are those of signatures of one kind,
-    so what chains among small sets does not tie large ones together. sets_of: the sets (id, n, set) that a filter of
-    their numbers lets through.
+    shared: (sig, pivot, member, kind, weight), which ties all sets of a signature together; families are those of signatures of one
+    kind, so what chains among small sets does not tie large ones together; weight is the largest size of a set of the kind.
+    sets_of: the sets (id, n, set) that a filter of their numbers lets through.
     """
-    pairs = work.keep(shared.where("pivot <> member").select("kind", "pivot", "member").distinct(), "pairs")
-    wanted = pairs.select("kind", F.explode(F.array("pivot", "member")).alias("id")).distinct()
+    pairs = work.keep(shared.where("pivot <> member").select("kind", "weight", "pivot", "member").distinct(), "pairs")
     edges = pairs.select(F.xxhash64("kind", "pivot").alias("a"), F.xxhash64("kind", "member").alias("b"))
     related = components(edges, work, "families-edges").withColumnRenamed("id", "node")
-    each = wanted.withColumn("node", F.xxhash64("kind", "id")).join(related, "node", "left").select("kind", "id", F.coalesce("component", "node").alias("family"))
-    each = work.keep(each.join(each.groupBy("family").agg(F.count("*").alias("n")), "family"), "families")
-    jobs, large = each.where(F.col("n") <= FAMILY).select(F.col("family").alias("job"), "id"), each.where(F.col("n") > FAMILY).select("kind", "id")
-    spread = not large.isEmpty()
+    each = pairs.select("kind", "weight", F.explode(F.array("pivot", "member")).alias("id")).distinct().withColumn("node", F.xxhash64("kind", "id"))
+    each = work.keep(each.join(related, "node", "left").select("kind", "weight", "id", F.coalesce("component", "node").alias("family")), "families")
+    sizes = each.groupBy("family").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    sizes = work.keep(sizes.where((F.col("n") > FAMILY) | (F.col("weight") > ELEMENTS)).select("family"), "large")
+    large = each.join(sizes, "family", "left_semi").select("kind", "id")
+    jobs = each.join(sizes, "family", "left_anti").select(F.col("family").alias("job"), "id", "weight")
+    spread = not sizes.isEmpty()
     if spread:
-        stars = pairs.join(large.withColumnRenamed("id", "member"), ["kind", "member"])
-        counts = stars.groupBy("kind", "pivot").agg(F.ceil(F.count("*") / JOB).cast("int").alias("chunks"))
+        stars = work.keep(pairs.join(large.withColumnRenamed("id", "member"), ["kind", "member"], "left_semi"), "stars")
+        counts = work.keep(stars.groupBy("kind", "pivot").agg(_parts_of(F.count("*"), F.sum("weight")).alias("chunks")), "chunks")
         stars = stars.join(counts, ["kind", "pivot"]).withColumn("job", F.xxhash64("kind", "pivot", F.pmod(F.xxhash64("member"), F.col("chunks"))))
-        jobs = jobs.unionAll(stars.select("job", F.col("member").alias("id"))).unionAll(stars.select("job", F.col("pivot").alias("id")).distinct())
-    bloom = Bloom.of(wanted.select("id").distinct(), each.count())
-    links = work.keep(_links(jobs.withColumn("label", F.col("id")), sets_of(bloom), like, buckets), "links")
-    work.free()
+        jobs = jobs.unionAll(stars.select("job", F.col("member").alias("id"), "weight")).unionAll(stars.select("job", F.col("pivot").alias("id"), "weight").distinct())
+    bloom = Bloom.of(each.select("id").distinct(), each.count())
+    links = work.keep(_links(work.keep(jobs.withColumn("label", F.col("id")), "jobs"), sets_of(bloom), like), "links")
     found = components(links, work)
     if not spread:
         return found
 
-    # in large families: signatures whose sets other than the pivot, which has met them all, are still apart
-    open_rows = shared.where("size > 2 and pivot <> member").select("sig", "kind", F.col("member").alias("id")).join(large, ["kind", "id"], "left_semi").join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("label"))
-    apart = open_rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("job")).where("low <> high")
-    apart = work.keep(apart.groupBy("job", "size").agg(F.min("sig").alias("sig")), "apart")
+    # in large families: signatures whose sets are still apart
+    tied = shared.select("sig", "kind", "weight", F.explode(F.array("pivot", "member")).alias("id")).distinct()
+    tied = tied.join(large, ["kind", "id"], "left_semi").join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("label"), "weight")
+    apart = tied.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("job")).where("low <> high")
+    apart = work.keep(apart.groupBy("job", "size").agg(F.min("sig").alias("sig")).select("sig", "job"), "apart")
     if apart.isEmpty():
         return found
-    again = open_rows.join(apart, "sig").select("job", "id", "label", F.ceil(F.col("size") / JOB).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    again = again.select("job", "id", "label", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    again = again.select(F.xxhash64("job", F.least("block", "other"), F.greatest("block", "other")).alias("job"), "id", "label").distinct()
-    more = work.keep(_links(again, sets_of(bloom), like, buckets), "more")
+    rows = work.keep(tied.join(apart, "sig").select("job", "id", "label", "weight"), "open")
+    more = work.keep(_links(work.keep(_across(rows, work), "jobs-again"), sets_of(bloom), like), "more")
     return components(links.unionAll(more), work, "edges-again")
 
 
-def _links(members: DataFrame, sets: DataFrame, like: Likeness, buckets: int) -> DataFrame:
-    """members: (job, id, label)."""
-    rows = members.join(sets.dropDuplicates(["id"]), "id").withColumn("bucket", F.pmod(F.xxhash64("job"), F.lit(buckets)).cast("int"))
-    return rows.groupBy("bucket").applyInArrow(_joined(like), "a long, b long")
+def _across(rows: DataFrame, work: Workspace) -> DataFrame:
+    """Jobs (job, id, label, weight) in which any two sets of one group (job) and different labels meet.
+
+    The sets of a group's most frequent label are dealt into blocks, and so are the others. Blocks of others meet each other and all of the
+    frequent one's, which don't meet each other, as their sets are connected.
+    """
+    each = rows.groupBy("job", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    top = each.groupBy("job").agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    blocks = top.select("job", F.col("top.label").alias("most"), _parts_of(F.col("top.n"), F.col("top.w"), 2).alias("tops"), _parts_of(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w"), 2).alias("rests"))
+    rows = rows.join(work.keep(blocks, "blocks"), "job").withColumn("rest", F.col("label") != F.col("most"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("tops")))
+    rows = rows.withColumn("block", block)
+    rest = F.transform(F.sequence(F.lit(0).cast("int"), F.col("rests") - 1), lambda k: F.when(F.col("rest"), F.xxhash64("job", F.lit(0), F.least(k, F.col("block")), F.greatest(k, F.col("block")))).otherwise(F.xxhash64("job", F.lit(1), F.col("block"), k)))
+    tops = F.when(F.col("rest"), F.transform(F.sequence(F.lit(0).cast("int"), F.col("tops") - 1), lambda k: F.xxhash64("job", F.lit(1), k.cast("long"), F.col("block").cast("int")))).otherwise(F.array().cast("array<bigint>"))
+    return rows.select(F.explode(F.concat(rest, tops)).alias("job"), "id", "label", "weight").distinct()
+
+
+def _links(members: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """members: (job, id, label, weight). Partitions are read in order, so a job is all that is held of one."""
+    parts = int(max(1, (members.agg(F.sum("weight")).first()[0] or 0) // PART))
+    rows = members.drop("weight").join(sets.dropDuplicates(["id"]), "id").repartition(parts, "job").sortWithinPartitions("job", "n", "id")
+    return rows.select("job", "id", "label", "set").mapInArrow(_joined(like), "a long, b long")
 
 
 def _sets_of(documents: DataFrame, words: int, clashing: np.ndarray, wanted: Bloom) -> DataFrame:
@@ -358,10 +430,10 @@ def similar_documents(documents: DataFrame, words: int = 5, like: Likeness = Lik
     clashing = np.array([r.a for r in clashes.select("a").collect()], np.int64).view(U)  # by chance, some 2**-65 of all pairs of sets
     classes = schemes(like, like.partner(int(most)))
     buckets = int(max(1, SIGNATURES * (like.whole - like.part) / like.part * shingles // BUCKET))
-    shared = _routed(documents, words, like, classes, clashing, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "sig long, pivot long, member long, size long")
-    shared = work.keep(shared.withColumn("kind", F.col("sig").bitwiseAND(63).cast("int")), "shared")
-    work.free()
-    found = connect(shared, lambda wanted: _sets_of(documents, words, clashing, wanted), like, work, int(max(1, shingles // 3_000_000)))
+    shared = _routed(documents, words, like, classes, clashing, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_of, SHARED)
+    kind = F.col("sig").bitwiseAND(63).cast("int")
+    shared = work.keep(shared.withColumns({"kind": kind, "weight": F.element_at(F.array(*(F.lit(c.high) for c in classes)), kind + 1).cast("long")}), "shared")
+    found = connect(shared, lambda wanted: _sets_of(documents, words, clashing, wanted), like, work)
 
     ident = F.col("a")
     if len(clashing):

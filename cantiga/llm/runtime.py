@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Where a session has none, as in tests, one is set."""
+    """The folder that all executors see: spark.checkpoint.dir. A local session that has none, as in tests, gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -23,25 +26,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables written once and read back: the lineage ends there, and a lost executor costs no recomputation before it."""
+    """Tables written once and read back: the lineage ends there, and a lost executor costs no recomputation before it.
+
+    Results read these tables when they are computed, so a folder stays until `close`, or the end of the driver.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self.close)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def free(self) -> None:
-        """Has Spark delete shuffle files that no table here needs any more; it does so when its driver collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no result reads any more."""
+        for name in names:
+            self._delete(f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Deletes all tables."""
+        atexit.unregister(self.close)
+        if self.spark.sparkContext._jsc is not None:
+            self._delete(self.path)
 
-    def drop(self, name: str) -> None:
-        """Deletes a table that no result reads any more."""
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

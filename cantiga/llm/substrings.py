@@ -8,30 +8,40 @@ form components. A component in several documents is repeated text: every occurr
 Beside the paragraphs, wherever lines end, windows of words are compared exactly. The least of some neighbouring windows is an
 anchor, so a long enough run of equal words has a common anchor wherever it stands. Where a document's repeated anchors end, all
 windows nearby are looked up in all documents, so that a passage reaches to its last equal word.
+
+Paragraphs and windows are known by keys. What several documents have is found by sums over keys, of which each batch of texts sends
+one row each; where they stand is read in a last pass. So a passage that a third of all documents have is a few rows until then, and
+its places are spread when they meet their key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import U, Sets, Words, buffers, key, long_array, mix, pieces, sets, signed, windows, words
-from .jaccard import BUCKET, Likeness, _shared, chosen, connect, identities
+from .jaccard import BUCKET, SHARED, STARS, Likeness, chosen, connect, identities, packed_stars, shared_of
 from .runtime import Workspace, documents
 from .stats import Bloom
 
 SHINGLE = 5
 #: Words of a paragraph that is not cut, and the word triples on either side that a cut is the least of.
 LONG, REACH = 100, 5
-#: Neighbouring repeated paragraphs of fewer words together are left alone.
-LEAST_WORDS = 30
+#: Shorter runs of repeated words are left alone. So passages of over 50 words are found even if, at either end, a word has grown
+#: together with what stands beside it.
+LEAST_WORDS = 48
 RECALL = 0.99
-#: Words of text for each bucket of paragraphs.
+#: Words of text for each bucket of passages.
 BUCKET_WORDS = 4_000_000
+#: Stands for a missing id: rows without one are one document that comes after all others.
+NO_ID = (1 << 63) - 1
+_ODD = U(1)
 
 
 def tune(similarity: float, recall: float, most: int = 24) -> tuple[int, int]:
@@ -64,11 +74,14 @@ def paragraphs(offsets: np.ndarray, data: np.ndarray, w: Words) -> tuple[np.ndar
     return np.append(first, n), np.searchsorted(first, w.bounds)
 
 
-def _paragraph_sets(offsets: np.ndarray, data: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, Sets]:
-    w = words(offsets, data)
-    first, bounds = paragraphs(offsets, data, w)
+def _paragraph_sets(w: Words, first: np.ndarray) -> Sets:
     h, at = windows(w.hashes, first, SHINGLE, short=True)
-    return w, first, bounds, sets(h, np.searchsorted(first, at, "right") - 1, len(first) - 1)
+    return sets(h, np.searchsorted(first, at, "right") - 1, len(first) - 1)
+
+
+def _numbers(s: Sets) -> np.ndarray:
+    """Keys of paragraphs; those of windows are odd."""
+    return identities(s)[0] & ~_ODD
 
 
 def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -90,47 +103,24 @@ def band_hashes(s: Sets, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def _packed(rows: np.ndarray, by: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
-    to = ((by >> U(32)) * U(buckets)) >> U(32)
-    order = np.argsort(to, kind="stable")
-    bounds = np.searchsorted(to[order], np.arange(buckets + 1, dtype=U))
-    some, rows = np.flatnonzero(np.diff(bounds)), rows[order]
-    return some, [rows[bounds[k] : bounds[k + 1]].tobytes() for k in some]
-
-
-def _scan(documents: DataFrame, bands: int, rows: int, buckets: int, places: bool) -> DataFrame:
-    """(bucket, rows): band hashes and set numbers; or, with places, set numbers and where the paragraphs are."""
+def _banded(documents: DataFrame, bands: int, rows: int, buckets: int) -> DataFrame:
+    """Band hashes and keys of the paragraphs of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, data = buffers(b.column("text"))
-            ids = b.column("doc_id").fill_null(-(1 << 63)).to_numpy()
-            found, fresh_ident, fresh_code = [], [np.zeros(0, U)], [np.zeros((0, bands), U)]
+            number, code = [np.zeros(0, U)], [np.zeros((0, bands), U)]
             for lo, hi in _pieces(offsets):
                 o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
-                w, first, bounds, s = _paragraph_sets(o, d)
-                if len(first) < 2:
-                    continue
-                ident = identities(s)[0]
-                if places:
-                    row = np.searchsorted(bounds, np.arange(len(ident)), "right") - 1
-                    code = np.concatenate(([0], np.cumsum((d & 0xC0) != 0x80)))
-                    begin, end = code[w.starts[first[:-1]]] - code[o[row]], code[w.ends[first[1:] - 1]] - code[o[row]]
-                    number = first[:-1] - w.bounds[row]
-                    found.append(np.stack((ident, ids[lo + row].view(U), (begin.astype(U) << U(32)) | end.astype(U), (number.astype(U) << U(32)) | np.diff(first).astype(U)), 1))
-                    continue
-                own, at = np.unique(ident, return_index=True)
-                fresh_ident.append(own)
-                fresh_code.append(band_hashes(s, bands, rows)[at])
-            if not places:
-                ident, at = np.unique(np.concatenate(fresh_ident), return_index=True)
-                found.append(np.stack((np.concatenate(fresh_code)[at].ravel(), np.repeat(ident, bands)), 1))
-            if found:
-                found = np.concatenate(found)
-                some, packed = _packed(found, found[:, 0], buckets)
-                yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "rows"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, rows binary")
+                w = words(o, d)
+                s = _paragraph_sets(w, paragraphs(o, d, w)[0])
+                own, at = np.unique(_numbers(s), return_index=True)
+                number.append(own)
+                code.append(band_hashes(s, bands, rows)[at])
+            number, at = np.unique(np.concatenate(number), return_index=True)
+            yield packed_stars(np.stack((np.concatenate(code)[at].ravel(), np.repeat(number, bands)), 1), buckets)
+
+    return documents.select("text").mapInArrow(run, STARS)
 
 
 def _sets_of(documents: DataFrame, wanted: Bloom) -> DataFrame:
@@ -140,31 +130,14 @@ def _sets_of(documents: DataFrame, wanted: Bloom) -> DataFrame:
         for b in batches:
             offsets, data = buffers(b.column("text"))
             for lo, hi in _pieces(offsets):
-                _, _, _, s = _paragraph_sets(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]])
-                yield chosen(s, identities(s)[0], sent.value)
+                o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
+                w = words(o, d)
+                s = _paragraph_sets(w, paragraphs(o, d, w)[0])
+                yield chosen(s, _numbers(s), sent.value)
 
     return documents.select("text").mapInArrow(run, "id long, n long, set binary")
 
 
-def _occurrences(places: pa.Table, linked: pa.Table) -> pa.Table:
-    """The paragraphs that occur several times or are linked: (doc_id, number, start, stop, words, cluster)."""
-    rows = [np.frombuffer(r.as_buffer(), U).reshape(-1, 4) for chunk in places.column("rows").chunks for r in chunk]
-    rows = np.concatenate(rows) if rows else np.zeros((0, 4), U)
-    ident, back, count = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
-    cluster, many = signed(ident.copy()), count > 1
-    ids = linked.column("id").to_numpy().view(U)
-    at = np.minimum(np.searchsorted(ident, ids), max(0, len(ident) - 1))
-    if len(ident):
-        same = ident[at] == ids
-        cluster[at[same]] = linked.column("component").to_numpy()[same]
-        many[at[same]] = True
-    take = many[back]
-    rows, cluster = rows[take], cluster[back][take]
-    low = U(0xFFFFFFFF)
-    columns = [signed(np.ascontiguousarray(rows[:, 1])), rows[:, 3] >> U(32), rows[:, 2] >> U(32), rows[:, 2] & low, rows[:, 3] & low, cluster]
-    return pa.table([long_array(c) for c in columns], names=["doc_id", "number", "start", "stop", "words", "cluster"])
-
-
 def reach(least_words: int) -> tuple[int, int]:
     """Words of a window, and the windows of which the least is an anchor: `least_words` words have one, and neighbouring anchors' windows meet."""
     return (least_words + 2) // 2, least_words + 1 - (least_words + 2) // 2
@@ -188,97 +161,130 @@ def anchors(h: np.ndarray, row: np.ndarray, among: int) -> np.ndarray:
     return _slid(np.maximum, np.pad(least, among - 1), among) == h
 
 
-def _windows(b: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Words, np.ndarray, np.ndarray]]:
-    """Of each piece of the batch: the windows' hashes, first words and rows, the rows' ids, words, offsets and bytes."""
+class Piece(NamedTuple):
+    """Some rows of a batch and their windows."""
+
+    low: int  #: number of the first row in the batch
+    offsets: np.ndarray
+    data: np.ndarray
+    words: Words
+    key: np.ndarray  #: of each window
+    at: np.ndarray  #: its first word
+    row: np.ndarray  #: its row
+
+
+def _windows(b: pa.RecordBatch, k: int) -> Iterator[Piece]:
     offsets, data = buffers(b.column("text"))
-    ids = b.column("doc_id").fill_null(-(1 << 63)).to_numpy()
     for lo, hi in _pieces(offsets):
         o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
         w = words(o, d)
         if len(w.hashes):
             h, at = windows(w.hashes, w.bounds, k, short=False)
-            yield h, at, np.searchsorted(w.bounds, at, "right") - 1, ids[lo:hi], w, o, d
+            yield Piece(lo, o, d, w, h | _ODD, at, np.searchsorted(w.bounds, at, "right") - 1)
+
+
+_SEEN = "key long, low long, high long, n long"
+
+
+def _seen(keys: list[np.ndarray], rows: list[np.ndarray], docs: np.ndarray) -> pa.RecordBatch:
+    """Of each key: the smallest and largest document, and the number of texts that have it."""
+    keys, rows = np.concatenate([np.zeros(0, U), *keys]), np.concatenate([np.zeros(0, np.int64), *rows])
+    order = np.lexsort((rows, keys))
+    keys, rows = keys[order], rows[order]
+    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    fresh = first | np.append(True, rows[1:] != rows[:-1])[: len(keys)]
+    start, doc = np.flatnonzero(first), docs[rows]
+    low, high, n = (f.reduceat(x, start) if len(start) else start for f, x in ((np.minimum, doc), (np.maximum, doc), (np.add, fresh.astype(np.int64))))
+    return pa.record_batch([long_array(x) for x in (keys[start], low, high, n)], names=["key", "low", "high", "n"])
+
 
+def _summed(seen: DataFrame) -> DataFrame:
+    return seen.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
 
-def _anchors_of(texts: DataFrame, k: int, among: int) -> DataFrame:
-    """(hash, low, high): the anchors of each batch with the smallest and largest document."""
+
+def _keys_of(texts: DataFrame, k: int, among: int) -> DataFrame:
+    """The paragraphs and anchors of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, docs = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            for h, _, row, ids, *_ in _windows(b, k):
-                take = anchors(h, row, among)
-                found.append(h[take])
-                docs.append(ids[row[take]])
-            found, docs = np.concatenate(found), np.concatenate(docs)
-            order = np.argsort(found, kind="stable")
-            own, at = np.unique(found[order], return_index=True)
-            low, high = (f.reduceat(docs[order], at) if len(at) else docs for f in (np.minimum, np.maximum))
-            yield pa.record_batch([long_array(own), long_array(low), long_array(high)], names=["hash", "low", "high"])
+            keys, rows = [], []
+            for p in _windows(b, k):
+                take = anchors(p.key, p.row, among)
+                first, bounds = paragraphs(p.offsets, p.data, p.words)
+                number = _numbers(_paragraph_sets(p.words, first))
+                keys += [p.key[take], number]
+                rows += [p.low + p.row[take], p.low + np.searchsorted(bounds, np.arange(len(number)), "right") - 1]
+            yield _seen(keys, rows, b.column("doc_id").to_numpy())
 
-    return texts.mapInArrow(run, "hash long, low long, high long")
+    return texts.mapInArrow(run, _SEEN)
 
 
 def _ends_of(texts: DataFrame, repeated: Bloom, k: int, among: int) -> DataFrame:
-    """(hash): the windows before the first and after the last of neighbouring repeated anchors."""
+    """(key): the windows before the first and after the last of neighbouring repeated anchors."""
     sent = texts.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.zeros(0, U)]
-            for h, _, row, *_ in _windows(b, k):
-                at = np.flatnonzero(anchors(h, row, among))
-                at = at[sent.value.holds(h[at])]
-                apart = (np.diff(at) > among) | (row[at[1:]] != row[at[:-1]])
+            for p in _windows(b, k):
+                at = np.flatnonzero(anchors(p.key, p.row, among))
+                at = at[sent.value.holds(p.key[at])]
+                apart = (np.diff(at) > among) | (p.row[at[1:]] != p.row[at[:-1]])
                 for side, end in ((1, np.append(apart, True)), (-1, np.append(True, apart))):
                     for step in range(1, among if len(at) else 1):
                         near = at[end] + side * step
-                        inside = (near >= 0) & (near < len(h))
+                        inside = (near >= 0) & (near < len(p.key))
                         near, own = near[inside], at[end][inside]
-                        found.append(h[near[row[near] == row[own]]])
-            yield pa.record_batch([long_array(np.unique(np.concatenate(found)))], names=["hash"])
+                        found.append(p.key[near[p.row[near] == p.row[own]]])
+            yield pa.record_batch([long_array(np.unique(np.concatenate(found)))], names=["key"])
+
+    return texts.mapInArrow(run, "key long")
+
+
+def _chosen_windows(texts: DataFrame, wanted: Bloom, k: int) -> DataFrame:
+    """The windows of each batch that the filter lets through."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, rows = [], []
+            for p in _windows(b, k):
+                take = sent.value.holds(p.key)
+                keys.append(p.key[take])
+                rows.append(p.low + p.row[take])
+            yield _seen(keys, rows, b.column("doc_id").to_numpy())
 
-    return texts.mapInArrow(run, "hash long")
+    return texts.mapInArrow(run, _SEEN)
 
 
-def _places_of(texts: DataFrame, wanted: Bloom, k: int, buckets: int) -> DataFrame:
-    """(bucket, rows): the windows that the filter lets through and where they are, as `_scan` has paragraphs."""
+def _places_of(texts: DataFrame, wanted: Bloom, k: int) -> DataFrame:
+    """(key, doc_id, row, span, place): where the paragraphs and windows stand that the filter lets through.
+
+    span: first and last code point, place: first word and number of words, 32 bits each.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 33
         for b in batches:
-            found = [np.zeros((0, 4), U)]
-            for h, at, row, ids, w, o, d in _windows(b, k):
-                take = sent.value.holds(h)
-                h, at, row = h[take], at[take], row[take]
-                code = np.concatenate(([0], np.cumsum((d & 0xC0) != 0x80)))
-                begin, end = code[w.starts[at]] - code[o[row]], code[w.ends[at + k - 1]] - code[o[row]]
-                found.append(np.stack((h, ids[row].view(U), (begin.astype(U) << U(32)) | end.astype(U), ((at - w.bounds[row]).astype(U) << U(32)) | U(k)), 1))
-            found = np.concatenate(found)
-            some, packed = _packed(found, found[:, 0], buckets)
-            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "rows"])
-
-    return texts.mapInArrow(run, "bucket int, rows binary")
-
-
-_UNITS = "doc_id long, number long, start long, stop long, words long, first_doc_id long, n_docs long"
-
-
-def _in_several(places: pa.Table) -> pa.Table:
-    """The windows that occur in several documents."""
-    rows = np.concatenate([np.frombuffer(r.as_buffer(), U).reshape(-1, 4) for chunk in places.column("rows").chunks for r in chunk])
-    doc = signed(np.ascontiguousarray(rows[:, 1]))
-    order = np.lexsort((doc, rows[:, 0]))
-    rows, doc = rows[order], doc[order]
-    new = np.append(True, rows[1:, 0] != rows[:-1, 0])[: len(rows)]
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(rows)))
-    fresh = new | np.append(True, doc[1:] != doc[:-1])[: len(rows)]
-    n_docs = np.repeat(np.add.reduceat(fresh.astype(np.int64), start) if len(start) else start, size)
-    first = np.repeat(doc[start], size)
-    take, low = n_docs > 1, U(0xFFFFFFFF)
-    columns = [doc, rows[:, 3] >> U(32), rows[:, 2] >> U(32), rows[:, 2] & low, rows[:, 3] & low, first, n_docs]
-    return pa.table([long_array(c[take]) for c in columns], names=["doc_id", "number", "start", "stop", "words", "first_doc_id", "n_docs"])
+            docs, found = b.column("doc_id").to_numpy(), [np.zeros((0, 5), U)]
+            for p in _windows(b, k):
+                first, bounds = paragraphs(p.offsets, p.data, p.words)
+                number = _numbers(_paragraph_sets(p.words, first))
+                keys = np.concatenate((p.key, number))
+                at, size = np.concatenate((p.at, first[:-1])), np.concatenate((np.full(len(p.at), k), np.diff(first)))
+                row = np.concatenate((p.row, np.searchsorted(bounds, np.arange(len(number)), "right") - 1))
+                take = sent.value.holds(keys)
+                keys, at, size, row = keys[take], at[take], size[take], row[take]
+                code = np.concatenate(([0], np.cumsum((p.data & 0xC0) != 0x80)))
+                start = code[p.offsets[row]]
+                begin, end = code[p.words.starts[at]] - start, code[p.words.ends[at + size - 1]] - start
+                pair = [(x.astype(U) << U(32)) | y.astype(U) for x, y in ((begin, end), (at - p.words.bounds[row], size))]
+                found.append(np.stack((keys, docs[p.low + row].view(U), (base + p.low + row).astype(U), *pair), 1))
+            base += b.num_rows
+            yield pa.record_batch([long_array(c) for c in np.concatenate(found).T], names=["key", "doc_id", "row", "span", "place"])
+
+    return texts.mapInArrow(run, "key long, doc_id long, row long, span long, place long")
 
 
 def _unions(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -288,8 +294,10 @@ def _unions(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def _passages(least_words: int):
     def run(units: pa.Table) -> pa.Table:
-        doc, number, start, stop, n, first, n_docs = (units.column(c).to_numpy() for c in ("doc_id", "number", "start", "stop", "words", "first_doc_id", "n_docs"))
-        names, rank = np.unique(doc, return_inverse=True)
+        doc, row, span, place, first, n_docs = (units.column(c).to_numpy() for c in ("doc_id", "row", "span", "place", "first_doc_id", "n_docs"))
+        names, at, rank = np.unique(row, return_index=True, return_inverse=True)
+        names = doc[at]
+        start, stop, number, n = span >> 32, span & 0xFFFFFFFF, place >> 32, place & 0xFFFFFFFF
         begin = (rank << 32) | number
         order = np.argsort(begin, kind="stable")
         begin, end, start, stop, doc, first, n_docs = begin[order], (begin + n)[order], start[order], stop[order], doc[order], first[order], n_docs[order]
@@ -338,8 +346,9 @@ def _passages(least_words: int):
         own = names[every[:, 0] >> 32]
         flag = np.repeat([False, True], (len(kept), len(gone)))
         first = np.where(flag, np.concatenate((np.zeros(len(kept), np.int64), least)), own)
-        columns = [own, every[:, 2], every[:, 3], every[:, 1] - every[:, 0], first, np.concatenate((docs, most))]
-        return pa.table([*(long_array(np.ascontiguousarray(c)) for c in columns), pa.array(flag)], names=_NAMES)
+        known = lambda x: pa.array(x, pa.int64(), mask=x == NO_ID)
+        columns = [known(own), *(long_array(np.ascontiguousarray(c)) for c in (every[:, 2], every[:, 3], every[:, 1] - every[:, 0])), known(first), long_array(np.concatenate((docs, most)))]
+        return pa.table([*columns, pa.array(flag)], names=_NAMES)
 
     return run
 
@@ -347,51 +356,45 @@ def _passages(least_words: int):
 _NAMES = ["doc_id", "start", "stop", "n_words", "first_doc_id", "n_docs", "removed"]
 
 
-def repeated_windows(documents: DataFrame, least_words: int, work: Workspace, buckets: int) -> DataFrame:
-    """(doc_id, number, start, stop, words, first_doc_id, n_docs): windows that cover every run of `least_words` words or more that several documents have."""
-    k, among = reach(least_words)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    repeated = work.keep(_anchors_of(texts, k, among).groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("hash"), "anchors")
-    ends = work.keep(_ends_of(texts, Bloom.of(repeated, repeated.count()), k, among), "ends")
-    wanted = repeated.unionAll(ends)
-    places = _places_of(texts, Bloom.of(wanted, wanted.count()), k, buckets).repartition(buckets, "bucket")
-    out = work.keep(places.groupBy("bucket").applyInArrow(_in_several, _UNITS), "windows")
-    work.free()
-    return out
-
-
 def repeated_passages(documents: DataFrame, like: Likeness = Likeness(), least_words: int = LEAST_WORDS, recall: float = RECALL) -> DataFrame:
     """One row per repeated passage of a document: (doc_id, start, stop, n_words, first_doc_id, n_docs, removed).
 
     start and stop are code points of the text. Neighbouring paragraphs and windows of words, of `least_words` words together, that
     each occur in several documents are a run; a passage is a part of a run that is kept (removed is false) or removed as a whole.
     Words that no earlier document has are kept, the others removed; `first_doc_id` is the smallest document of any paragraph or
-    window of the passage and n_docs the most documents of one.
-    Null and empty texts have none, nor has an empty table. Rows repeated under one id are one document, and repeat nothing
-    by themselves. Columns but doc_id and text are not read.
+    window of the passage, and n_docs the most texts that have one of them (a text counts once for each of its near copies).
+    Null and empty texts have none, nor has an empty table. Rows repeated under one id are one document: they repeat nothing
+    by themselves, and each has its own rows. Rows without id are one document that comes after all others.
+    Columns but doc_id and text are not read.
     """
     work = Workspace(documents.sparkSession, "substrings")
     bands, rows = tune(like.part / like.whole, recall)
     n_bytes = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(1, n_bytes / 6 / BUCKET_WORDS))
     many = int(max(1, n_bytes / 6 / 20 * bands / BUCKET))
-    shared = _scan(documents, bands, rows, many, places=False).repartition(many, "bucket").groupBy("bucket").applyInArrow(_shared, "sig long, pivot long, member long, size long")
-    shared = work.keep(shared.withColumn("kind", F.lit(0)), "shared")
-    work.free()
-    found = connect(shared, lambda wanted: _sets_of(documents, wanted), like, work, buckets)
+    shared = _banded(documents, bands, rows, many).repartition(many, "bucket").groupBy("bucket").applyInArrow(shared_of, SHARED)
+    shared = work.keep(shared.withColumns({"kind": F.lit(0), "weight": F.lit(LONG).cast("long")}), "shared")
+    found = connect(shared, lambda wanted: _sets_of(documents, wanted), like, work)
     roots = found.select(F.col("component").alias("id"), "component").distinct()
-    hashed = F.expr("(shiftrightunsigned(id, 32) * %d) >> 32" % buckets).cast("int")
-    linked = found.unionByName(roots).withColumn("bucket", hashed)
-    places = _scan(documents, bands, rows, buckets, places=True).repartition(buckets, "bucket")
-    both = places.groupBy("bucket").cogroup(linked.groupBy("bucket")).applyInArrow(_occurrences, "doc_id long, number long, start long, stop long, words long, cluster long")
-    both = work.keep(both, "occurrences")
-
-    each = both.groupBy("cluster", "doc_id").agg(F.lit(1).alias("one")).groupBy("cluster").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_docs")).where("n_docs > 1")
-    spread = both.dropDuplicates(["doc_id", "number", "start", "cluster"]).join(each, "cluster")
-    exact = repeated_windows(documents, least_words, work, buckets)
-    units = spread.select(*exact.columns).unionAll(exact).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    schema = "doc_id long, start long, stop long, n_words long, first_doc_id long, n_docs long, removed boolean"
-    return units.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_passages(least_words), schema)
+    linked = work.keep(found.unionByName(roots).select(F.col("id").alias("key"), F.col("component").alias("cluster")), "linked")
+
+    k, among = reach(least_words)
+    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    keys = _summed(_keys_of(texts, k, among)).join(linked, "key", "left").where("low <> high or cluster is not null")
+    keys = work.keep(keys, "keys")
+    odd = F.col("key").bitwiseAND(1) == 1
+    # a window is an anchor by what stands around it, so what has it is counted anew
+    repeated = keys.where(odd).select("key")
+    wanted = repeated.unionAll(work.keep(_ends_of(texts, Bloom.of(repeated, repeated.count()), k, among), "ends"))
+    exact = _summed(_chosen_windows(texts, Bloom.of(wanted, wanted.count()), k)).where("low <> high")
+
+    near = keys.where(~odd).withColumn("cluster", F.coalesce("cluster", "key"))
+    clusters = near.groupBy("cluster").agg(F.min("low").alias("first_doc_id"), F.max("high").alias("high"), F.sum("n").alias("n_docs")).where("first_doc_id <> high").drop("high")
+    near = near.select("key", "cluster").join(work.keep(clusters, "clusters"), "cluster").drop("cluster")
+    units = work.keep(near.unionByName(exact.select("key", F.col("low").alias("first_doc_id"), F.col("n").alias("n_docs"))), "units")
+    places = _places_of(texts, Bloom.of(units.select("key"), units.count()), k).join(units, "key").drop("key")
+    places = places.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
+    return places.groupBy("bucket").applyInArrow(_passages(least_words), "doc_id long, start long, stop long, n_words long, first_doc_id long, n_docs long, removed boolean")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,10 +55,10 @@ def brute_components(rows, k, part, whole):
     return sorted((i, len(s), least[find(a)]) for a, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize(("k", "part"), [(4, 85), (5, 80)])
-@pytest.mark.parametrize("family", [2, 4096])
-def test_components_equal_brute_force(documents, monkeypatch, k, part, family):
-    monkeypatch.setattr(jaccard, "FAMILY", family)
+@pytest.mark.parametrize(("k", "part", "family", "job", "elements"), [(4, 85, 4096, 512, 2_000_000), (5, 80, 2, 3, 2_000_000), (5, 80, 4096, 512, 900)])
+def test_components_equal_brute_force(documents, monkeypatch, k, part, family, job, elements):
+    for name, value in (("FAMILY", family), ("JOB", job), ("ELEMENTS", elements)):
+        monkeypatch.setattr(jaccard, name, value)
     rows = corpus()
     got = similar_documents(documents(rows), k, Likeness(part, 100)).collect()
     assert sorted(map(tuple, got)) == brute_components(rows, k, part, 100)
@@ -177,7 +177,7 @@ def test_first_occurrences_stay_beside_older_passages(documents):
     a, b = prose(40), prose(40)
     rows = [(1, f"{b}\n{prose(20)}"), (2, f"{a}\n{b}"), (3, f"{prose(20)}\n{a}")]
     texts = dict(rows)
-    got = repeated_passages(documents(rows)).collect()
+    got = repeated_passages(documents(rows), least_words=30).collect()
     assert sorted((r.doc_id, texts[r.doc_id][r.start : r.stop].strip(), r.first_doc_id, r.removed) for r in got) == sorted([(1, b, 1, False), (2, a, 2, False), (2, b, 1, True), (3, a, 2, True)])
 
 
@@ -215,7 +215,7 @@ def test_every_repeated_run_of_words_is_covered(documents):
             wanted |= {(i, j + k) for i, j in at for k in range(30)}
             gone |= {(i, j + k) for i, j in at for k in range(30) if i != min(at)[0]}
     got, removed = set(), set()
-    for r in repeated_passages(documents(rows)).collect():
+    for r in repeated_passages(documents(rows), least_words=30).collect():
         t = dict(rows)[r.doc_id]
         a = len(t[: r.start].split())
         assert len(t[r.start : r.stop].split()) == r.n_words
@@ -226,3 +226,33 @@ def test_every_repeated_run_of_words_is_covered(documents):
     assert wanted <= got and gone <= removed
     kept = {texts[i][j] for i, j in got - removed} | {w for i in texts for j, w in enumerate(texts[i]) if (i, j) not in got}
     assert {texts[i][j] for i, j in removed} <= kept
+
+
+def test_passages_of_over_fifty_words_are_found_whatever_stands_around(documents):
+    rng = random.Random(16)
+    prose = lambda n: [f"q{rng.randint(0, 10**8)}" for _ in range(n)]
+    rows, wanted = [], {}
+    for k in range(40):
+        passage = prose(51 + 3 * k)
+        for j in range(2):
+            before, after = prose(rng.choice([0, 3, 10, 40, 200])), prose(rng.choice([0, 3, 10, 40, 200]))
+            every = before + passage + after
+            rows.append((2 * k + j, "".join(w + rng.choice(["\n", "  ", "\t", *" " * 30]) for w in every)))
+            wanted[2 * k + j] = passage
+    rows += [(1000 + k, " ".join(prose(47) + ["shared"] + prose(30))) for k in range(5)] + [(5000, None)]
+    texts = dict(rows)
+    got = repeated_passages(documents(rows)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(wanted)
+    for r in got:
+        found, passage = texts[r.doc_id][r.start : r.stop].split(), wanted[r.doc_id]
+        # a near copy of a paragraph may reach a few words further
+        assert " ".join(passage) in " ".join(found) and len(found) <= len(passage) + 8
+
+
+def test_rows_without_id_are_one_document_that_comes_last(documents):
+    rng = random.Random(17)
+    prose = lambda n: " ".join(f"z{rng.randint(0, 10**8)}" for _ in range(n))
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(None, a), (5, a), (None, b), (None, b), (7, f"{c}\n{prose(9)}"), (7, f"{prose(70)}\n{c}"), (8, c)]
+    got = repeated_passages(documents(rows)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.first_doc_id, r.removed) for r in got), key=str) == sorted([(None, 60, 5, True), (5, 60, 5, False), (7, 60, 7, False), (7, 60, 7, False), (8, 60, 7, True)], key=str)
