@@ -3,8 +3,8 @@
 The older half of the documents, by id, is a snapshot that no longer changes: its digests have one binary fuse filter per
 shard. The digests of the newer half are grouped among themselves first and screened by the filters; only what a filter lets
 through joins the snapshot's exact buckets. Shards hold a bounded number of distinct digests, and their number follows the
-input. A group of copies is one row before any shuffle, so its size does not matter; the rows of a large group are salted
-where their texts are compared.
+input. A group of copies is one row before any shuffle, so its size does not matter. Only the texts of groups are shuffled, to be
+compared byte by byte, and the rows of a large group are salted there.
 """
 
 from __future__ import annotations
@@ -17,13 +17,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse
-from .columns import buffers, prefix_sums, span_hashes
-from .runtime import Workspace, documents
+from .columns import U, buffers, prefix_sums, span_hashes
+from .runtime import Workspace, documents, filtered
+from .stats import Bloom
 
 #: Distinct digests of a shard, about.
 SHARD = 1 << 19
 #: Copies of one text that one task compares.
 SALT_ROWS = 2000
+#: Stands for a missing id where rows are looked up.
+NO_ID = -(1 << 63)
 
 
 def normalised(column: str) -> Column:
@@ -79,7 +82,7 @@ def find_copies(documents: DataFrame, bucket: Callable[[Column], Column] = lambd
     fresh = screened.where("not seen").select("digest", "keep", "n").unionByName(through.join(old.select("digest"), "digest", "left_anti"))
     several = known.unionByName(fresh).where("n > 1")
     out = work.keep(rows.join(several, "digest", "left"), "resolved")
-    unlike = work.keep(_unlike(out.where("n is not null"), whole), "unlike")
+    unlike = work.keep(_unlike(out.where("n is not null"), documents), "unlike")
     kept = F.col("keep.row").isNull() | (F.col("keep.row") == F.col("row"))
     out = out.select("doc_id", "sha", "row", "digest", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), kept.alias("kept"))
     if not unlike.isEmpty():
@@ -87,27 +90,36 @@ def find_copies(documents: DataFrame, bucket: Callable[[Column], Column] = lambd
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def _unlike(members: DataFrame, whole: DataFrame) -> DataFrame:
+def _texts_of(ids: DataFrame, documents: DataFrame) -> DataFrame:
+    """(id, sha, text) of the documents whose id a filter of `ids` lets through: the others' texts are never shuffled."""
+    sent = documents.sparkSession.sparkContext.broadcast(Bloom.of(ids, ids.count()))
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    few = filtered(rows, lambda b: sent.value.holds(b.column("id").to_numpy().view(U)))
+    return few.select("id", normalised("text").alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
+
+
+def _unlike(members: DataFrame, documents: DataFrame) -> DataFrame:
     """The texts in a bucket whose bytes differ from those of the bucket's kept row: (digest, id, sha, text)."""
-    id_of = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id")
-    each = members.select(id_of, "sha", "digest", "n", F.coalesce("keep.doc_id", F.lit(-(1 << 63))).alias("keep_id")).dropDuplicates(["id", "sha"])
-    texts = whole.select(id_of, "sha", "text").join(each, ["id", "sha"])
+    id_of = F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
+    each = members.select(id_of, "sha", "digest", "n", F.coalesce("keep.doc_id", F.lit(NO_ID)).alias("keep_id")).dropDuplicates(["id", "sha"])
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    copies = texts.withColumn("salt", F.pmod(F.xxhash64("id", "sha"), salts).cast("int"))
-    kept = texts.where("id = keep_id").groupBy("digest", "n").agg(F.min("text").alias("kept_text")).select("digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "kept_text")
+    copies = _texts_of(each.select("id"), documents).join(each, ["id", "sha"]).withColumn("salt", F.pmod(F.xxhash64("id", "sha"), salts).cast("int"))
+    first = each.where("id = keep_id")
+    kept = _texts_of(first.select("id"), documents).join(first, ["id", "sha"]).groupBy("digest", "n").agg(F.min("text").alias("kept_text"))
+    kept = kept.select("digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "kept_text")
     return copies.join(kept, ["digest", "salt"]).where("text <> kept_text").select("digest", "id", "sha", "text")
 
 
 def _apart(out: DataFrame, unlike: DataFrame) -> DataFrame:
     """Gives rows whose bytes differ from their bucket's kept row groups of their own."""
-    own = out.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(unlike.dropDuplicates(["id", "sha"]), ["id", "sha", "digest"])
+    own = out.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).join(unlike.dropDuplicates(["id", "sha"]), ["id", "sha", "digest"])
     first = own.groupBy("digest", "text").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("size"))
     each = own.join(first, ["digest", "text"]).select("row", "first", "size")
     fewer = own.groupBy("digest").agg(F.count("*").alias("gone"))
     out = out.join(each, "row", "left").join(fewer, "digest", "left")
     moved = F.col("first").isNotNull()
     return out.select(
-        "doc_id", F.when(moved, F.nullif("first.id", F.lit(-(1 << 63)))).otherwise(F.col("keep_id")).alias("keep_id"),
+        "doc_id", F.when(moved, F.nullif("first.id", F.lit(NO_ID))).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("size", F.col("group_size") - F.coalesce("gone", F.lit(0))).alias("group_size"), F.when(moved, F.col("first.row") == F.col("row")).otherwise(F.col("kept")).alias("kept"), "sha",
     )
 

@@ -1,9 +1,9 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word and byte n-grams are counted: one of all documents (the raw text), and one of good text
-(the target), from the raw counts and the labelled documents' shares of good text. A document's log weight is the log ratio of its likelihoods, plus a Gumbel number drawn from a
-hash of its id; the k documents of largest sum are an importance sample without replacement. k is the number of documents
-above the point that best separates good from bad labels.
+(the target), from the documents labelled good. A document's log weight is the log ratio of its likelihoods under the two; a
+Gumbel number drawn from a hash of its id is added, and the k documents of largest sum are an importance sample without
+replacement. k is a share of the documents: by default the share of good ones among the labelled.
 """
 
 from __future__ import annotations
@@ -19,45 +19,43 @@ from pyspark.sql import functions as F
 from . import labelled
 from .columns import U, buffers, key, mix, pieces, words
 from .ngrams import BUCKETS, grams, sums
-from .runtime import documents, filtered
+from .runtime import Workspace, documents, filtered
 from .stats import summed
 
-#: Labelled documents that the target model and k are taken from at most. Raw counts cover every document.
+#: Labelled documents that the target model and the share are taken from at most. Raw counts cover every document.
 SAMPLE = 20_000
-#: Pseudo-counts of a bucket.
-SMOOTHING = 5.0
-#: A document's log weight is the sum over its n n-grams times TEMPER / (n + SHORT), so that length alone moves no document.
-TEMPER, SHORT = 300.0, 50.0
+#: Weight of the labelled documents in the target model; the rest is the raw model, which knows n-grams that no label covers.
+TRUST = 0.5
+#: Bins of a step towards the k-th largest key.
+BINS = 1024
 
 
 def _count(b: pa.RecordBatch, into: np.ndarray) -> None:
-    """Word and byte n-grams of all texts, of those labelled good, and of all labelled ones, one after the other."""
+    """Word and byte n-grams of all texts, and of those labelled good."""
     offsets, data = buffers(b.column("text"))
-    label = b.column("label").fill_null(-1).to_numpy(zero_copy_only=False)
-    parts = into.reshape(3, 2, BUCKETS)
+    good = b.column("label").fill_null(0).to_numpy(zero_copy_only=False) > 0
+    parts = into.reshape(2, 2, BUCKETS)
     for lo, hi in pieces(offsets):
         o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
-        g = grams(o, d, words(o, d))
+        g, some = grams(o, d, words(o, d)), good[lo:hi]
         parts[0, 0] += np.bincount(g.word, minlength=BUCKETS)
         parts[0, 1] += np.bincount(g.byte, minlength=BUCKETS)
-        for part, some in ((parts[1], label[lo:hi] > 0), (parts[2], label[lo:hi] >= 0)):
-            if some.any():
-                part[0] += np.bincount(g.word[some[g.word_row]], minlength=BUCKETS)
-                part[1] += np.bincount(g.byte[np.repeat(some, np.diff(g.byte_row_bounds))], minlength=BUCKETS)
+        if some.any():
+            parts[1, 0] += np.bincount(g.word[some[g.word_row]], minlength=BUCKETS)
+            parts[1, 1] += np.bincount(g.byte[np.repeat(some, np.diff(g.byte_row_bounds))], minlength=BUCKETS)
 
 
 def log_ratios(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per word bucket and per byte bucket: log of target over raw probability.
 
-    The target model takes of each raw count the share that is good where it is labelled, drawn towards the overall share by
-    `SMOOTHING`. So n-grams that no label covers, such as those of a language without labels, weigh about nothing.
+    The raw model counts one n-gram more in each bucket. The target model is a mixture of the labelled documents' shares and the raw
+    model (Jelinek-Mercer smoothing). Without good documents both are the same.
     """
     out = []
-    for raw, good, seen in zip(*counts.reshape(3, 2, BUCKETS), strict=True):
-        overall = good.sum() / max(1.0, seen.sum())
-        raw = raw + 1
-        target = raw * (good + SMOOTHING * overall) / (seen + SMOOTHING) if overall else raw
-        out.append((np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32))
+    for raw, good in zip(*counts.reshape(2, 2, BUCKETS), strict=True):
+        raw = (raw + 1) / (raw + 1).sum()
+        target = TRUST * good / good.sum() + (1 - TRUST) * raw if good.any() else raw
+        out.append(np.log(target / raw))
     return out[0], out[1]
 
 
@@ -67,22 +65,10 @@ def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
     return -np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
 
 
-def best_cut(keys: np.ndarray, good: np.ndarray) -> float:
-    """The middle of the gap that splits good from bad labels with the least balanced error; -inf with labels of one kind."""
-    if good.all() or not good.any():
-        return -np.inf
-    order = np.argsort(keys, kind="stable")
-    keys, good = keys[order], good[order]
-    error = np.concatenate(([1.0], np.cumsum(good) / good.sum() + 1 - np.cumsum(~good) / (~good).sum()))
-    error[1:-1][keys[1:] == keys[:-1]] = 2  # equal keys stay together
-    at = int(np.argmin(error))
-    return -np.inf if at == 0 else float(keys[-1] + 1) if at == len(keys) else float((keys[at - 1] + keys[at]) / 2)
-
-
-class Fitted(NamedTuple):
+class Model(NamedTuple):
     word: np.ndarray  #: log ratio of each bucket
     byte: np.ndarray
-    cut: float  #: the k-th largest sum of log weight and Gumbel number
+    share: float  #: of the documents that are taken
     seed: int
 
     def weigh(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -91,48 +77,81 @@ class Fitted(NamedTuple):
         out = [np.zeros(0)]
         for lo, hi in pieces(offsets):
             o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
-            of_words, n_words, of_bytes, n_bytes = sums(grams(o, d, words(o, d)), self.word, self.byte, hi - lo)
-            out.append((of_words + of_bytes) * TEMPER / (n_words + n_bytes + SHORT))
+            of_words, _, of_bytes, _ = sums(grams(o, d, words(o, d)), self.word, self.byte, hi - lo)
+            out.append(of_words + of_bytes)
         weight = np.concatenate(out)
         return weight, weight + gumbel(b.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(), self.seed)
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE, seed: int = 0) -> Fitted:
-    """Counts both models, and reads k off the labelled documents' keys."""
+def fit(documents: DataFrame, labels: DataFrame, share: float | None = None, rows: int = SAMPLE, seed: int = 0) -> Model:
+    """Counts both models. share: of the documents to take; by default that of good ones among the labelled, 1 without good ones."""
     few = F.broadcast(labelled.sample(labels, rows))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    word, byte = log_ratios(summed(docs.join(few, "doc_id", "left"), ["text", "label"], _count, 6 * BUCKETS))
-    sent = documents.sparkSession.sparkContext.broadcast(Fitted(word, byte, -np.inf, seed))
+    word, byte = log_ratios(summed(docs.join(few, "doc_id", "left"), ["text", "label"], _count, 4 * BUCKETS))
+    if share is None:
+        good, seen = few.agg(F.count_if(F.col("label") > 0), F.count("*")).first()
+        share = good / seen if good else 1.0
+    return Model(word, byte, share, seed)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([b.column("doc_id"), pa.array(sent.value.weigh(b)[1]), b.column("label")], names=["doc_id", "key", "label"])
 
-    seen = docs.join(few, "doc_id").mapInArrow(keys, "doc_id long, key double, label int").groupBy("doc_id").agg(F.min("key").alias("key"), F.min("label").alias("label")).collect()
-    return Fitted(word, byte, best_cut(np.array([r.key for r in seen]), np.array([r.label > 0 for r in seen], bool)), seed)
+def kth_largest(values: DataFrame, k: int) -> float:
+    """The k-th largest of a column of numbers, exactly: the bin that holds it is split until its rows are equal.
 
+    Each step sends a count, the least and the largest of each bin to the driver. inf for k = 0, -inf if there are no more than k.
+    """
+    x = F.col(values.columns[0])
+    n, low, high = values.agg(F.count(x), F.min(x), F.max(x)).first()
+    if k <= 0:
+        return np.inf
+    if k >= n:
+        return -np.inf
+    while low < high:
+        bin_of = F.least(F.lit(BINS - 1), F.floor((x - low) / (high - low) * BINS))
+        bins = values.where((x >= low) & (x <= high)).groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+        for b in sorted(bins.collect(), key=lambda r: -r.bin):
+            if k <= b.n:
+                low, high = b.low, b.high
+                break
+            k -= b.n
+    return float(low)
 
-def resample(documents: DataFrame, fitted: Fitted) -> DataFrame:
-    """(doc_id, log_weight, key, kept): the Gumbel top-k of the documents.
 
-    The k-th largest key is the cut itself, so no sort is needed. A null or empty text has weight 0 and its Gumbel number;
-    repeated ids have equal numbers and stay or go by their texts. Without labels of both kinds all documents stay. Columns but
-    doc_id and text are not read. An empty table gives no rows.
-    """
-    sent = documents.sparkSession.sparkContext.broadcast(fitted)
+def weighted(documents: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, log_weight, key)."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             weight, keys = sent.value.weigh(b)
-            yield pa.record_batch([b.column("doc_id"), pa.array(weight), pa.array(keys), pa.array(keys >= sent.value.cut)], names=["doc_id", "log_weight", "key", "kept"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(weight), pa.array(keys)], names=["doc_id", "log_weight", "key"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, log_weight double, key double, kept boolean")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, log_weight double, key double")
+
+
+def _top(documents: DataFrame, model: Model, work: Workspace) -> tuple[DataFrame, float]:
+    """All documents' weights, and the k-th largest key."""
+    rows = work.keep(weighted(documents, model), "weights")
+    return rows, kth_largest(rows.select("key"), round(model.share * rows.count()))
+
+
+def resample(documents: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, log_weight, key, kept): the Gumbel top-k of the documents.
+
+    A null or empty text has weight 0 and its Gumbel number; repeated ids, and rows without id, have equal numbers and stay or go by
+    their texts; rows of equal keys stay or go together. Without good labels all documents stay. Columns but
+    doc_id and text are not read. An empty table gives no rows.
+    """
+    rows, cut = _top(documents, model, Workspace(documents.sparkSession, "importance"))
+    return rows.withColumn("kept", F.col("key") >= cut)
 
 
-def kept_rows(documents: DataFrame, fitted: Fitted) -> DataFrame:
+def kept_rows(documents: DataFrame, model: Model) -> DataFrame:
     """The rows of `documents`, all columns, that `resample` keeps."""
-    sent = documents.sparkSession.sparkContext.broadcast(fitted)
-    return filtered(documents, lambda b: sent.value.weigh(b)[1] >= sent.value.cut)
+    work = Workspace(documents.sparkSession, "importance")
+    _, cut = _top(documents, model, work)
+    work.close()
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    return filtered(documents, lambda b: sent.value.weigh(b)[1] >= cut)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

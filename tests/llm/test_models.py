@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cantiga.llm import hmm, importance, licences, quality_rules
+from cantiga.llm import columns, hmm, importance, licences, quality_rules
 from cantiga.llm.columns import U
 
 from .conftest import EDGES
@@ -68,18 +68,58 @@ def test_without_labels_nothing_is_rejected_by_a_model(spark, documents):
     assert quality_rules.apply_rules(empty, quality_rules.fit(empty, none)).count() == 0
 
 
-def test_resampling_is_the_gumbel_top_k_and_tells_labels(spark, documents):
+def brute_grams(t):
+    """Buckets of a text's words, word pairs and byte triples, each hashed on its own."""
+    w, raw = split(t or ""), (t or "").encode()
+    h = [int(columns.words(np.array([0, len(x)]), np.frombuffer(x, np.uint8)).hashes[0]) for x in (y.encode() for y in w)]
+    pairs = [int(columns.mix(np.array([(a + b * columns._STEP) % 2**64], U))[0]) for a, b in zip(h, h[1:], strict=False)]
+    return [x >> 48 for x in h + pairs], [((int.from_bytes(raw[i : i + 3], "little") * 0x9E3779B1) % 2**32) >> 16 for i in range(len(raw) - 2)]
+
+
+def test_weights_and_top_k_equal_brute_force(spark, documents):
     rows, labels = labelled(spark)
+    rows += [(1000 + (i or 0), t) for i, t in EDGES] + [(None, rows[1][1]), (3, "another text under one id")]
+    docs = documents(rows)
+    model = importance.fit(docs, labels)
+    got = importance.resample(docs, model).collect()
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    each = [(i, *brute_grams(t)) for i, t in rows]
+    weights = [0.0] * len(rows)
+    for part in (1, 2):
+        raw, good = Counter(), Counter()
+        for x in each:
+            raw.update(x[part])
+            if quality.get(x[0]) == 1:
+                good.update(x[part])
+        p = {g: (raw[g] + 1) / (sum(raw.values()) + importance.BUCKETS) for g in raw}
+        ratio = {g: math.log((0.5 * good[g] / sum(good.values()) + 0.5 * p[g]) / p[g]) for g in raw}
+        weights = [w + sum(ratio[g] for g in x[part]) for w, x in zip(weights, each, strict=True)]
+    noise = importance.gumbel(np.array([-1 if i is None else i for i, _ in rows]), 0)
+    wanted = sorted(((i, w, w + g) for (i, _), w, g in zip(rows, weights, noise, strict=True)), key=str)
+    assert len(got) == len(wanted)
+    order = lambda r: (r[0] is None, r[0] or 0, r[2])
+    for r, w in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.key)), sorted(wanted, key=order), strict=True):
+        assert r.doc_id == w[0] and math.isclose(r.log_weight, w[1], rel_tol=1e-9, abs_tol=1e-6) and math.isclose(r.key, w[2], rel_tol=1e-9, abs_tol=1e-6)
+    k = round(0.75 * len(rows))
+    cut = sorted((r.key for r in got), reverse=True)[k - 1]
+    assert model.share == 0.75 and all(r.kept == (r.key >= cut) for r in got)
+    same = importance.kept_rows(docs, model).collect()
+    assert same[0].__fields__ == docs.columns and sorted((r.doc_id for r in same), key=str) == sorted((r.doc_id for r in got if r.kept), key=str)
+
+
+def test_resampling_tells_labels_it_has_not_seen(spark, documents):
+    rows, labels = labelled(spark, 240)
     docs = documents(rows)
-    fitted = importance.fit(docs, labels)
-    got = {r.doc_id: r for r in importance.resample(docs, fitted).collect()}
-    k = sum(r.kept for r in got.values())
-    assert {i for i, r in got.items() if r.kept} == set(sorted(got, key=lambda i: -got[i].key)[:k])
-    noise = importance.gumbel(np.array(list(got)), 0)
-    assert all(math.isclose(r.key, r.log_weight + g) for r, g in zip(got.values(), noise, strict=True))
+    got = {r.doc_id: r for r in importance.resample(docs, importance.fit(docs, labels.where("doc_id % 2 = 0"), share=0.75)).collect()}
     assert all(got[i].kept == (i % 4 != 0) for i, _ in rows)
-    same = sorted(map(tuple, importance.kept_rows(docs, fitted).collect()))
-    assert same == sorted(tuple(r) for r in docs.collect() if got[r.doc_id].kept)
+
+
+@pytest.mark.parametrize("k", [0, 1, 7, 500, 999, 1000, 1200])
+def test_kth_largest(spark, k):
+    rng = random.Random(k)
+    values = [rng.choice([rng.gauss(0, 1), 10 ** rng.uniform(-9, 9), 0.25]) for _ in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert importance.kth_largest(df, k) == (math.inf if k == 0 else -math.inf if k >= 1000 else sorted(values, reverse=True)[k - 1])
 
 
 def test_gumbel_numbers_have_their_mean():
