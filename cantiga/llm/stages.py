@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import importance, labelled
@@ -15,7 +17,7 @@ from .packing import default_tokenizer, pack
 from .runtime import Workspace, filtered
 from .stats import Bloom
 
-_ID, _SHA, _COPIES = "cantiga doc_id", "cantiga sha", "cantiga copies"
+_ID, _SHA, _COPIES, _SOURCE, _SIZE, _NTH = (f"cantiga {x}" for x in ("doc_id", "sha", "copies", "source", "size", "nth"))
 
 
 def _halves(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +32,7 @@ def _halves(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the quality classifier rejects. Null and empty texts weigh nothing and stay if their Gumbel number is above the cut."""
+    """Drops what the quality classifier rejects. Null and empty texts weigh nothing, so their Gumbel number decides."""
     return importance.kept_rows(docs, importance.fit(docs, labelled.labels(spark, sf_dir)))
 
 
@@ -46,7 +48,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, like: Likeness = Likeness(80, 100)) -> DataFrame:
-    """Of each group of linked texts the document of smallest id stays."""
+    """Of each group of linked texts the document of smallest id stays. Rows that share an id go together; those without one stay."""
     work = Workspace(spark, "stage-near")
     gone = work.keep(similar_documents(docs, words, like).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     apart, near = _halves(docs, gone)
@@ -55,10 +57,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, words: in
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it. Rows under one id are taken alike; rows without id are not taken."""
-    taken = mix_sources(word_counts(docs)).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias(_COPIES)).withColumnRenamed("doc_id", _ID)
-    rows = docs.withColumn(_ID, F.col("doc_id").cast("long")).join(taken, _ID)
-    return rows.withColumn(_COPIES, F.explode(F.sequence(F.lit(1), F.col(_COPIES)))).select(*docs.columns)
+    """Each row as many times as the mix takes it, rows without id or source and rows that share an id included.
+
+    Rows of one id, source and number of words are alike to the mix: which of them it takes more often goes by a hash of the text.
+    """
+    work = Workspace(spark, "stage-mix")
+    keys = {"doc_id": _ID, "source": _SOURCE, "size": _SIZE}
+    mixed = work.keep(mix_sources(word_counts(docs)).select(*(F.col(a).alias(b) for a, b in keys.items()), F.col("copies").alias(_COPIES)), "mixed")
+    several = work.keep(mixed.groupBy(_ID, _SOURCE).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "several")
+    rows = docs.withColumns({_ID: F.col("doc_id").cast("long"), _SOURCE: F.col("source")})
+
+    def same(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
+        a, b = a.alias("a"), b.alias("b")
+        out = a.join(b, reduce(lambda x, y: x & y, (F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in on)), how)
+        return out if how != "inner" else out.select("a.*", f"b.`{_COPIES}`")
+
+    if several.isEmpty():
+        out = same(rows, mixed.where(F.col(_COPIES) > 0), [_ID, _SOURCE], "inner")
+    else:
+        out = same(same(rows, several, [_ID, _SOURCE], "left_anti"), same(mixed.where(F.col(_COPIES) > 0), several, [_ID, _SOURCE], "left_anti"), [_ID, _SOURCE], "inner")
+        alike = Window.partitionBy(_ID, _SOURCE, _SIZE)
+        few = same(rows, several, [_ID, _SOURCE], "left_semi").withColumn(_SIZE, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
+        few = few.withColumn(_NTH, F.row_number().over(alike.orderBy(F.xxhash64("text"))))
+        taken = same(mixed, several, [_ID, _SOURCE], "left_semi").withColumn(_NTH, F.row_number().over(alike.orderBy(F.desc(_COPIES))))
+        out = out.unionByName(same(few, taken, [_ID, _SOURCE, _SIZE, _NTH], "inner").drop(_SIZE, _NTH))
+    return out.where(F.col(_COPIES) > 0).withColumn(_COPIES, F.explode(F.sequence(F.lit(1), F.col(_COPIES)))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

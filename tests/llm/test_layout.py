@@ -172,3 +172,17 @@ def test_stages_equal_brute_force_and_keep_all_columns(spark, documents, tmp_pat
     taken = mixing.mix_sources(mixing.word_counts(exact))
     assert mixed.columns == docs.columns and mixed.count() == taken.agg({"copies": "sum"}).first()[0]
     assert stages.packed(spark, mixed, str(tmp_path)).agg({"length": "sum"}).first()[0] >= mixed.count()
+
+
+def test_the_mix_takes_every_row_as_often_as_it_says(spark, tmp_path):
+    rows = [(i if i % 5 else None, f"t{i} " * (i % 9), f"s{i % 3}" if i % 4 else None) for i in range(120)] + [(7, "again " * 3, "s1"), (7, "again " * 3, "s1"), (8, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    wanted = {}
+    for r in mixing.mix_sources(mixing.word_counts(docs)).collect():
+        at = (r.doc_id, r.source, r.size)
+        wanted[at] = wanted.get(at, 0) + r.copies
+    got = {}
+    for r in stages.mix(spark, docs, str(tmp_path)).collect():
+        at = (r.doc_id, r.source, len(split(r.text or "")))
+        got[at] = got.get(at, 0) + 1
+    assert got == {k: n for k, n in wanted.items() if n}
