@@ -5,13 +5,15 @@ whose largest size is u, two sets of the wanted similarity differ in at most k e
 universe of hashes one at least has the same elements in both. The hash of a part's elements is a signature: each set has
 about 0.3 signatures an element, and every pair that can link shares one. No set and no frequency is gathered for this.
 
-Trees. Sets of a size class that are related by shared signatures meet in one job, each once. Families beyond a bound are dealt into jobs of
-bounded size, each around the smallest set of a signature. A job's sets, ordered by size, are the leaves of a signature tree, whose nodes hold the OR of the token bitmaps below, the range of sizes, and the most
-tokens that fell on one another. Two nodes are descended together unless their sizes, or the common bits of their bitmaps,
-leave less overlap than a link needs, or all their sets are known to be connected. Leaf pairs are compared exactly.
+Trees. Sets of a size class that are related by shared signatures meet in one job, each once. Families beyond a bound are dealt into
+jobs of bounded size, each around one set of a signature. A job's sets, ordered by size, are the leaves of a signature tree, whose
+nodes hold the OR of the token bitmaps below, the range of sizes, and the most tokens that fell on one another. Two nodes are descended
+together unless their sizes, or the common bits of their bitmaps, leave less overlap than a link needs, or all their sets are known to
+be connected. First the leaves have bitmaps alone, less than an eighth of the sets; what may be linked by them meets again, whole, and leaf
+pairs are compared exactly.
 
 Contract. Links within a job become a spanning forest. In families beyond the bound a second round of jobs takes the
-signatures whose sets, other than the smallest, are still in several components, so every linked pair ends in one component.
+signatures whose sets are still in several components, so every linked pair ends in one component.
 Equal sets are one set throughout.
 """
 
@@ -222,25 +224,27 @@ def shared_of(bucket: pa.Table) -> pa.Table:
 
 
 class Tree:
-    """A signature tree over sets in order of size."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets, n = sets, len(sets)
-        self.size = np.array([len(s) for s in sets])
-        bits = np.zeros((n, BITS), bool)
-        for k, s in enumerate(sets):
-            bits[k, (s % U(BITS)).astype(np.int64)] = True
-        bits = np.packbits(bits, axis=1).view(U)
-        spill = self.size - np.bitwise_count(bits).sum(1)
-        self.levels = [(bits, self.size, self.size, spill)]  # bitmap, least and largest size, most tokens beyond the bits
+    """A signature tree over sets in order of size. Without `sets`, a pair whose bitmaps leave enough overlap counts as a link."""
+
+    def __init__(self, size: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None = None):
+        """bits: a row of bytes for each set."""
+        self.sets, self.size = sets, size
+        bits = np.ascontiguousarray(bits).view(U)
+        spill = size - np.bitwise_count(bits).sum(1)
+        self.levels = [(bits, size, size, spill)]  # bitmap, least and largest size, most tokens beyond the bits
         while len(self.levels[-1][0]) > 1:
             b, lo, hi, sp = self.levels[-1]
             at = np.arange(0, len(b), LEAVES)
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(sp, at)))
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Tree:
+        size = np.array([len(s) for s in sets])
+        return cls(size, bitmaps(np.concatenate(sets), size, BITS), sets)
+
     def join(self, like: Likeness, group: np.ndarray) -> list[tuple[int, int]]:
         """Links that connect all sets that are connected by links. group: sets of one number are connected from the start."""
-        parent = list(range(len(self.sets)))
+        parent = list(range(len(self.size)))
 
         def root(k: int) -> int:
             while parent[k] != k:
@@ -257,7 +261,7 @@ class Tree:
             level, a, b = todo.pop()
             if level == 0:
                 x, y = root(a), root(b)
-                if x != y and _overlap(self.sets[a], self.sets[b]) >= like.needed(int(self.size[a] + self.size[b])):
+                if x != y and (self.sets is None or _overlap(self.sets[a], self.sets[b]) >= like.needed(int(self.size[a] + self.size[b]))):
                     parent[max(x, y)] = min(x, y)
                     links.append((a, b))
                 continue
@@ -275,49 +279,89 @@ class Tree:
             if a == b:
                 good &= (i[:, None] < j[None, :]) if level == 1 else (i[:, None] <= j[None, :])
             todo.extend((level - 1, int(i[p]), int(j[q])) for p, q in np.argwhere(good)[::-1])
+        self.roots = np.array([root(k) for k in range(len(parent))])  #: of each set, one of those that it is connected with
         return links
 
 
+def bitmaps(values: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """A row of bytes for each set, with a bit for each remainder of a value by `width`, a power of two."""
+    bits = np.zeros((len(size), width), bool)
+    bits[np.repeat(np.arange(len(size)), size), (values & U(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1)
+
+
+def widths(size: np.ndarray) -> np.ndarray:
+    """Bits of a set's own bitmap: the power of two from four for each element on."""
+    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(1, 4 * size))).astype(np.int64))
+
+
+def _folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of one width, the least of theirs."""
+    width, out = min(map(len, maps)), []
+    for m in maps:
+        while len(m) > width:
+            m = m[: len(m) // 2] | m[len(m) // 2 :]
+        out.append(m)
+    return np.stack(out)
+
+
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     both = np.concatenate((a, b))
     both.sort(kind="stable")
     return int((both[1:] == both[:-1]).sum())
 
 
-def _joined(like: Likeness):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of job and size. One job is held at a time."""
-        now, ids, labels, sets, links = None, [], [], [], []
+def _meeting(like: Likeness, near: bool):
+    """Rows (job, id, n, label, set) come in order of job and n. One job is held at a time.
 
-        def join() -> None:
-            if len(ids) > 1:
-                links.extend((ids[a], ids[b]) for a, b in Tree(sets).join(like, np.array(labels)))
+    near: sets are bitmaps, and what comes out are groups of sets that may be linked: (job, id, label, weight). Otherwise links: (a, b).
+    """
+
+    def one(job: int, ids: list[int], sizes: list[int], labels: list[int], raw: list[np.ndarray]) -> np.ndarray:
+        ids, labels, sizes = np.array(ids), np.array(labels), np.array(sizes)
+        if not near:
+            sets = []
+            for r in raw:
+                wide = np.zeros((len(r) // 6, 8), np.uint8)
+                wide[:, :6] = r.reshape(-1, 6)
+                sets.append(wide.view(U).ravel())
+            return ids[np.array(Tree.of(sets).join(like, labels), np.int64).reshape(-1, 2)]
+        tree = Tree(sizes, _folded(raw))
+        tree.join(like, labels)
+        _, group = np.unique(tree.roots, return_inverse=True)
+        low, high = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
+        np.minimum.at(low, group, labels)
+        np.maximum.at(high, group, labels)
+        take = (low < high)[group]
+        name = signed(mix(mix(ids[tree.roots].view(U)) ^ np.array([job]).view(U)))
+        return np.stack((name, ids, labels, sizes), 1)[take]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["job", "id", "label", "weight"] if near else ["a", "b"]
+        now, held, out = None, ([], [], [], []), [np.zeros((0, len(names)), np.int64)]
         for batch in batches:
-            job, each, label = (batch.column(c).to_numpy() for c in ("job", "id", "label"))
+            job, ids, n, label = (batch.column(c).to_numpy() for c in ("job", "id", "n", "label"))
             at, data = buffers(batch.column("set"))
             start = np.flatnonzero(np.append(True, job[1:] != job[:-1])[: len(job)])
             for lo, hi in zip(start.tolist(), np.append(start[1:], len(job)).tolist(), strict=True):
                 if job[lo] != now:
-                    join()
-                    now, ids, labels, sets = job[lo], [], [], []
-                values = np.zeros(((at[hi] - at[lo]) // 6, 8), np.uint8)
-                values[:, :6] = data[at[lo] : at[hi]].reshape(-1, 6)
-                ids += each[lo:hi].tolist()
-                labels += label[lo:hi].tolist()
-                sets += np.split(values.view(U).ravel(), (at[lo + 1 : hi] - at[lo]) // 6)
-            if links:
-                yield _pairs(links)
-                links = []
-        join()
-        yield _pairs(links)
+                    if len(held[0]) > 1:
+                        out.append(one(int(now), *held))
+                    now, held = job[lo], ([], [], [], [])
+                for into, x in zip(held, (ids, n, label), strict=False):
+                    into.extend(x[lo:hi].tolist())
+                held[3].extend(data[a:b].copy() for a, b in zip(at[lo:hi], at[lo + 1 : hi + 1], strict=True))
+            yield _rows(out, names)
+            out = out[:1]
+        if len(held[0]) > 1:
+            out.append(one(int(now), *held))
+        yield _rows(out, names)
 
     return run
 
 
-def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = np.array(links, np.int64).reshape(-1, 2).T
-    return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+def _rows(parts: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.record_batch([long_array(np.ascontiguousarray(c)) for c in np.concatenate(parts).T], names=names)
 
 
 def _parts_of(n: Column, weight: Column, share: int = 1) -> Column:
@@ -325,12 +369,12 @@ def _parts_of(n: Column, weight: Column, share: int = 1) -> Column:
     return F.greatest(F.ceil(n * share / JOB), F.ceil(weight * share / ELEMENTS)).cast("int")
 
 
-def connect(shared: DataFrame, sets_of: Callable[[Bloom], DataFrame], like: Likeness, work: Workspace) -> DataFrame:
+def connect(shared: DataFrame, sets_of: Callable[[Bloom, bool], DataFrame], like: Likeness, work: Workspace) -> DataFrame:
     """(id, component) of the sets that links connect to a smaller number, from the signatures that several sets share.
 
     shared: (sig, pivot, member, kind, weight), which ties all sets of a signature together; families are those of signatures of one
     kind, so what chains among small sets does not tie large ones together; weight is the largest size of a set of the kind.
-    sets_of: the sets (id, n, set) that a filter of their numbers lets through.
+    sets_of: the sets (id, n, set), or their bitmaps, that a filter of their numbers lets through.
     """
     pairs = work.keep(shared.where("pivot <> member").select("kind", "weight", "pivot", "member").distinct(), "pairs")
     edges = pairs.select(F.xxhash64("kind", "pivot").alias("a"), F.xxhash64("kind", "member").alias("b"))
@@ -347,8 +391,17 @@ def connect(shared: DataFrame, sets_of: Callable[[Bloom], DataFrame], like: Like
         counts = work.keep(stars.groupBy("kind", "pivot").agg(_parts_of(F.count("*"), F.sum("weight")).alias("chunks")), "chunks")
         stars = stars.join(counts, ["kind", "pivot"]).withColumn("job", F.xxhash64("kind", "pivot", F.pmod(F.xxhash64("member"), F.col("chunks"))))
         jobs = jobs.unionAll(stars.select("job", F.col("member").alias("id"), "weight")).unionAll(stars.select("job", F.col("pivot").alias("id"), "weight").distinct())
-    bloom = Bloom.of(each.select("id").distinct(), each.count())
-    links = work.keep(_links(work.keep(jobs.withColumn("label", F.col("id")), "jobs"), sets_of(bloom), like), "links")
+    ids = each.select("id").distinct()
+    maps = work.keep(sets_of(Bloom.of(ids, ids.count()), True).dropDuplicates(["id"]), "bitmaps")
+
+    def linked(jobs: DataFrame, name: str) -> DataFrame:
+        """Bitmaps tell which sets may be linked; only those are sent whole."""
+        near = work.keep(_met(work.keep(jobs, f"{name}-jobs"), maps, like, True), f"{name}-near")
+        ids = near.select("id").distinct()
+        sets = sets_of(Bloom.of(ids, ids.count()), False).dropDuplicates(["id"])
+        return work.keep(_met(near, sets, like, False), name)
+
+    links = linked(jobs.withColumn("label", F.col("id")), "links")
     found = components(links, work)
     if not spread:
         return found
@@ -356,13 +409,12 @@ def connect(shared: DataFrame, sets_of: Callable[[Bloom], DataFrame], like: Like
     # in large families: signatures whose sets are still apart
     tied = shared.select("sig", "kind", "weight", F.explode(F.array("pivot", "member")).alias("id")).distinct()
     tied = tied.join(large, ["kind", "id"], "left_semi").join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("label"), "weight")
-    apart = tied.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("job")).where("low <> high")
+    apart = tied.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("job")).where("low <> high and size > 2")
     apart = work.keep(apart.groupBy("job", "size").agg(F.min("sig").alias("sig")).select("sig", "job"), "apart")
     if apart.isEmpty():
         return found
     rows = work.keep(tied.join(apart, "sig").select("job", "id", "label", "weight"), "open")
-    more = work.keep(_links(work.keep(_across(rows, work), "jobs-again"), sets_of(bloom), like), "more")
-    return components(links.unionAll(more), work, "edges-again")
+    return components(links.unionAll(linked(_across(rows, work), "more")), work, "edges-again")
 
 
 def _across(rows: DataFrame, work: Workspace) -> DataFrame:
@@ -382,14 +434,16 @@ def _across(rows: DataFrame, work: Workspace) -> DataFrame:
     return rows.select(F.explode(F.concat(rest, tops)).alias("job"), "id", "label", "weight").distinct()
 
 
-def _links(members: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+def _met(members: DataFrame, sets: DataFrame, like: Likeness, near: bool) -> DataFrame:
     """members: (job, id, label, weight). Partitions are read in order, so a job is all that is held of one."""
-    parts = int(max(1, (members.agg(F.sum("weight")).first()[0] or 0) // PART))
-    rows = members.drop("weight").join(sets.dropDuplicates(["id"]), "id").repartition(parts, "job").sortWithinPartitions("job", "n", "id")
-    return rows.select("job", "id", "label", "set").mapInArrow(_joined(like), "a long, b long")
+    total = members.agg(F.sum("weight")).first()[0] or 0
+    parts = int(max(1, total // (PART * 6 if near else PART)))
+    rows = members.drop("weight").join(sets, "id").repartition(parts, "job").sortWithinPartitions("job", "n", "id")
+    schema = "job long, id long, label long, weight long" if near else "a long, b long"
+    return rows.select("job", "id", "n", "label", "set").mapInArrow(_meeting(like, near), schema)
 
 
-def _sets_of(documents: DataFrame, words: int, clashing: np.ndarray, wanted: Bloom) -> DataFrame:
+def _sets_of(documents: DataFrame, words: int, clashing: np.ndarray, wanted: Bloom, bits: bool) -> DataFrame:
     """(id, n, set) of each text whose set the filter lets through, once a batch."""
     sent = documents.sparkSession.sparkContext.broadcast(wanted)
 
@@ -398,19 +452,32 @@ def _sets_of(documents: DataFrame, words: int, clashing: np.ndarray, wanted: Blo
             offsets, data = buffers(b.column("text"))
             for lo, hi in pieces(offsets):
                 s = shingle_sets(offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]], words)
-                yield chosen(s, _identity(*identities(s), clashing), sent.value)
+                yield chosen(s, _identity(*identities(s), clashing), sent.value, bits)
 
     return documents.select("text").mapInArrow(run, "id long, n long, set binary")
 
 
-def chosen(s: Sets, ident: np.ndarray, wanted: Bloom) -> pa.RecordBatch:
-    """The distinct sets, of one element at least, whose numbers the filter lets through; six bytes an element."""
+def chosen(s: Sets, ident: np.ndarray, wanted: Bloom, bits: bool) -> pa.RecordBatch:
+    """The distinct sets, of one element at least, whose numbers the filter lets through: six bytes an element, or bitmaps."""
     ident, at = np.unique(ident, return_index=True)
     take = wanted.holds(ident) & (np.diff(s.bounds)[at] > 0)
     ident, at = ident[take], at[take]
-    packed = s.values.view(np.uint8).reshape(-1, 8)[:, :6]
-    values = [packed[s.bounds[k] : s.bounds[k + 1]].tobytes() for k in at]
-    return pa.record_batch([long_array(ident), long_array(np.diff(s.bounds)[at]), pa.array(values, pa.binary())], names=["id", "n", "set"])
+    size = np.diff(s.bounds)[at]
+    if not bits:
+        raw = s.values.view(np.uint8).reshape(-1, 8)[:, :6]
+        values = [raw[s.bounds[k] : s.bounds[k + 1]].tobytes() for k in at]
+        return pa.record_batch([long_array(ident), long_array(size), pa.array(values, pa.binary())], names=["id", "n", "set"])
+    width, found = widths(size), [pa.record_batch([[], [], []], schema=_SET)]
+    for w in np.unique(width).tolist():
+        every, step = np.flatnonzero(width == w), max(1, (1 << 22) // w)
+        for k in (every[i : i + step] for i in range(0, len(every), step)):
+            where = np.repeat(s.bounds[at[k]] - (np.cumsum(size[k]) - size[k]), size[k]) + np.arange(size[k].sum())
+            made = [r.tobytes() for r in bitmaps(s.values[where], size[k], w)]
+            found.append(pa.record_batch([long_array(ident[k]), long_array(size[k]), pa.array(made, pa.binary())], schema=_SET))
+    return pa.Table.from_batches(found).combine_chunks().to_batches()[0] if len(found) > 1 else found[0]
+
+
+_SET = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
 
 
 def similar_documents(documents: DataFrame, words: int = 5, like: Likeness = Likeness()) -> DataFrame:
@@ -433,7 +500,7 @@ def similar_documents(documents: DataFrame, words: int = 5, like: Likeness = Lik
     shared = _routed(documents, words, like, classes, clashing, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_of, SHARED)
     kind = F.col("sig").bitwiseAND(63).cast("int")
     shared = work.keep(shared.withColumns({"kind": kind, "weight": F.element_at(F.array(*(F.lit(c.high) for c in classes)), kind + 1).cast("long")}), "shared")
-    found = connect(shared, lambda wanted: _sets_of(documents, words, clashing, wanted), like, work)
+    found = connect(shared, lambda wanted, bits: _sets_of(documents, words, clashing, wanted, bits), like, work)
 
     ident = F.col("a")
     if len(clashing):

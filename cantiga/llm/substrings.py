@@ -123,7 +123,7 @@ def _banded(documents: DataFrame, bands: int, rows: int, buckets: int) -> DataFr
     return documents.select("text").mapInArrow(run, STARS)
 
 
-def _sets_of(documents: DataFrame, wanted: Bloom) -> DataFrame:
+def _sets_of(documents: DataFrame, wanted: Bloom, bits: bool) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +133,7 @@ def _sets_of(documents: DataFrame, wanted: Bloom) -> DataFrame:
                 o, d = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
                 w = words(o, d)
                 s = _paragraph_sets(w, paragraphs(o, d, w)[0])
-                yield chosen(s, _numbers(s), sent.value)
+                yield chosen(s, _numbers(s), sent.value, bits)
 
     return documents.select("text").mapInArrow(run, "id long, n long, set binary")
 
@@ -374,7 +374,7 @@ def repeated_passages(documents: DataFrame, like: Likeness = Likeness(), least_w
     many = int(max(1, n_bytes / 6 / 20 * bands / BUCKET))
     shared = _banded(documents, bands, rows, many).repartition(many, "bucket").groupBy("bucket").applyInArrow(shared_of, SHARED)
     shared = work.keep(shared.withColumns({"kind": F.lit(0), "weight": F.lit(LONG).cast("long")}), "shared")
-    found = connect(shared, lambda wanted: _sets_of(documents, wanted), like, work)
+    found = connect(shared, lambda wanted, bits: _sets_of(documents, wanted, bits), like, work)
     roots = found.select(F.col("component").alias("id"), "component").distinct()
     linked = work.keep(found.unionByName(roots).select(F.col("id").alias("key"), F.col("component").alias("cluster")), "linked")
 

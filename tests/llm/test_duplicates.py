@@ -101,7 +101,7 @@ def test_tree_finds_all_components():
             sets.append(np.unique(s))
     sets.sort(key=len)
     like = Likeness(85, 100)
-    links = Tree(sets).join(like, np.arange(len(sets)))
+    links = Tree.of(sets).join(like, np.arange(len(sets)))
     root = list(range(len(sets)))
     slow = list(range(len(sets)))
 
