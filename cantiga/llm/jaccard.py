@@ -420,18 +420,19 @@ def connect(shared: DataFrame, sets_of: Callable[[Bloom, bool], DataFrame], like
 def _across(rows: DataFrame, work: Workspace) -> DataFrame:
     """Jobs (job, id, label, weight) in which any two sets of one group (job) and different labels meet.
 
-    The sets of a group's most frequent label are dealt into blocks, and so are the others. Blocks of others meet each other and all of the
+    A group that is no larger than a job is one. Of others, the sets of a group's most frequent label are dealt into blocks, and so are the others. Blocks of others meet each other and all of the
     frequent one's, which don't meet each other, as their sets are connected.
     """
     each = rows.groupBy("job", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     top = each.groupBy("job").agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
-    blocks = top.select("job", F.col("top.label").alias("most"), _parts_of(F.col("top.n"), F.col("top.w"), 2).alias("tops"), _parts_of(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w"), 2).alias("rests"))
+    blocks = top.select("job", F.col("top.label").alias("most"), _parts_of(F.col("top.n"), F.col("top.w"), 2).alias("tops"), _parts_of(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w"), 2).alias("rests"), (_parts_of(F.col("n"), F.col("w")) == 1).alias("one"))
     rows = rows.join(work.keep(blocks, "blocks"), "job").withColumn("rest", F.col("label") != F.col("most"))
     block = F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("tops")))
     rows = rows.withColumn("block", block)
     rest = F.transform(F.sequence(F.lit(0).cast("int"), F.col("rests") - 1), lambda k: F.when(F.col("rest"), F.xxhash64("job", F.lit(0), F.least(k, F.col("block")), F.greatest(k, F.col("block")))).otherwise(F.xxhash64("job", F.lit(1), F.col("block"), k)))
     tops = F.when(F.col("rest"), F.transform(F.sequence(F.lit(0).cast("int"), F.col("tops") - 1), lambda k: F.xxhash64("job", F.lit(1), k.cast("long"), F.col("block").cast("int")))).otherwise(F.array().cast("array<bigint>"))
-    return rows.select(F.explode(F.concat(rest, tops)).alias("job"), "id", "label", "weight").distinct()
+    jobs = F.when(F.col("one"), F.array("job")).otherwise(F.concat(rest, tops))
+    return rows.select(F.explode(jobs).alias("job"), "id", "label", "weight").distinct()
 
 
 def _met(members: DataFrame, sets: DataFrame, like: Likeness, near: bool) -> DataFrame:
