@@ -13,7 +13,8 @@ be connected. First the leaves have bitmaps alone, less than an eighth of the se
 pairs are compared exactly.
 
 Contract. Links within a job become a spanning forest. In families beyond the bound a second round of jobs takes the
-signatures whose sets are still in several components, so every linked pair ends in one component.
+signatures whose sets are still in several components: bitmaps tell which sets of two components may be linked, and those meet once for
+the two, whole. So every linked pair ends in one component.
 Equal sets are one set throughout.
 """
 
@@ -270,18 +271,41 @@ class Tree:
                 continue
             if a != b and len({root(k) for h in (a, b) for k in range(h * span, min((h + 1) * span, len(parent)))}) == 1:
                 continue
-            bits, lo, hi, spill = self.levels[level - 1]
-            i = np.arange(a * LEAVES, min((a + 1) * LEAVES, len(bits)))
-            j = np.arange(b * LEAVES, min((b + 1) * LEAVES, len(bits)))
-            common = np.bitwise_count(bits[i][:, None, :] & bits[j][None, :, :]).sum(2, dtype=np.int64) + np.minimum(spill[i][:, None], spill[j][None, :])
-            good = common >= like.needed(lo[i][:, None] + lo[j][None, :])
-            good &= (hi[i][:, None] * like.whole >= lo[j][None, :] * like.part) & (hi[j][None, :] * like.whole >= lo[i][:, None] * like.part)
-            if a == b:
-                good &= (i[:, None] < j[None, :]) if level == 1 else (i[:, None] <= j[None, :])
+            i, j, good = self._open(level, a, b, like)
             todo.extend((level - 1, int(i[p]), int(j[q])) for p, q in np.argwhere(good)[::-1])
         self.roots = np.array([root(k) for k in range(len(parent))])  #: of each set, one of those that it is connected with
         return links
 
+    def _open(self, level: int, a: int, b: int, like: Likeness) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The children of two nodes, and which pairs of them may hold a link; a pair comes once."""
+        bits, lo, hi, spill = self.levels[level - 1]
+        i = np.arange(a * LEAVES, min((a + 1) * LEAVES, len(bits)))
+        j = np.arange(b * LEAVES, min((b + 1) * LEAVES, len(bits)))
+        common = np.bitwise_count(bits[i][:, None, :] & bits[j][None, :, :]).sum(2, dtype=np.int64) + np.minimum(spill[i][:, None], spill[j][None, :])
+        good = common >= like.needed(lo[i][:, None] + lo[j][None, :])
+        good &= (hi[i][:, None] * like.whole >= lo[j][None, :] * like.part) & (hi[j][None, :] * like.whole >= lo[i][:, None] * like.part)
+        if a == b:
+            good &= (i[:, None] < j[None, :]) if level == 1 else (i[:, None] <= j[None, :])
+        return i, j, good
+
+    def across(self, like: Likeness, group: np.ndarray) -> np.ndarray:
+        """All pairs of sets of different groups whose bitmaps leave enough overlap for a link."""
+        out, todo = [np.zeros((0, 2), np.int64)], [(len(self.levels) - 1, 0, 0)]
+        while todo:
+            level, a, b = todo.pop()
+            span = LEAVES**level
+            inside = np.concatenate((group[a * span : (a + 1) * span], group[b * span : (b + 1) * span]))
+            if not level or (inside == inside[0]).all():
+                continue
+            i, j, good = self._open(level, a, b, like)
+            if level == 1:
+                good &= group[i][:, None] != group[j][None, :]
+                at = np.argwhere(good)
+                out.append(np.stack((i[at[:, 0]], j[at[:, 1]]), 1))
+            else:
+                todo.extend((level - 1, int(i[p]), int(j[q])) for p, q in np.argwhere(good))
+        return np.concatenate(out)
+
 
 def bitmaps(values: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
     """A row of bytes for each set, with a bit for each remainder of a value by `width`, a power of two."""
@@ -311,15 +335,17 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _meeting(like: Likeness, near: bool):
-    """Rows (job, id, n, label, set) come in order of job and n. One job is held at a time.
+#: What comes of sets that meet. Of bitmaps: groups of sets that may be linked, from labels that are apart (job, id, label, weight); or
+#: the sets of any two labels that may be linked with one of the other, as a job of the two. Of whole sets: links (a, b).
+GROUPS, ACROSS, LINKS = "groups", "across", "links"
 
-    near: sets are bitmaps, and what comes out are groups of sets that may be linked: (job, id, label, weight). Otherwise links: (a, b).
-    """
+
+def _meeting(like: Likeness, what: str):
+    """Rows (job, id, n, label, set) come in order of job and n. One job is held at a time."""
 
     def one(job: int, ids: list[int], sizes: list[int], labels: list[int], raw: list[np.ndarray]) -> np.ndarray:
         ids, labels, sizes = np.array(ids), np.array(labels), np.array(sizes)
-        if not near:
+        if what == LINKS:
             sets = []
             for r in raw:
                 wide = np.zeros((len(r) // 6, 8), np.uint8)
@@ -327,6 +353,12 @@ def _meeting(like: Likeness, near: bool):
                 sets.append(wide.view(U).ravel())
             return ids[np.array(Tree.of(sets).join(like, labels), np.int64).reshape(-1, 2)]
         tree = Tree(sizes, _folded(raw))
+        if what == ACROSS:
+            pairs = tree.across(like, labels)
+            low, high = np.sort(labels[pairs], axis=1).T
+            name = signed(mix(mix(low.astype(np.int64).view(U)) + high.astype(np.int64).view(U)))
+            at = pairs.T.ravel()
+            return np.unique(np.stack((np.tile(name, 2), ids[at], labels[at], sizes[at]), 1), axis=0)
         tree.join(like, labels)
         _, group = np.unique(tree.roots, return_inverse=True)
         low, high = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
@@ -337,7 +369,7 @@ def _meeting(like: Likeness, near: bool):
         return np.stack((name, ids, labels, sizes), 1)[take]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["job", "id", "label", "weight"] if near else ["a", "b"]
+        names = ["a", "b"] if what == LINKS else ["job", "id", "label", "weight"]
         now, held, out = None, ([], [], [], []), [np.zeros((0, len(names)), np.int64)]
         for batch in batches:
             job, ids, n, label = (batch.column(c).to_numpy() for c in ("job", "id", "n", "label"))
@@ -394,14 +426,14 @@ def connect(shared: DataFrame, sets_of: Callable[[Bloom, bool], DataFrame], like
     ids = each.select("id").distinct()
     maps = work.keep(sets_of(Bloom.of(ids, ids.count()), True).dropDuplicates(["id"]), "bitmaps")
 
-    def linked(jobs: DataFrame, name: str) -> DataFrame:
-        """Bitmaps tell which sets may be linked; only those are sent whole."""
-        near = work.keep(_met(work.keep(jobs, f"{name}-jobs"), maps, like, True), f"{name}-near")
-        ids = near.select("id").distinct()
+    def whole(jobs: DataFrame, name: str) -> DataFrame:
+        """The links of sets that bitmaps do not tell apart; only those are sent whole."""
+        ids = jobs.select("id").distinct()
         sets = sets_of(Bloom.of(ids, ids.count()), False).dropDuplicates(["id"])
-        return work.keep(_met(near, sets, like, False), name)
+        return work.keep(_met(jobs, sets, like, LINKS), name)
 
-    links = linked(jobs.withColumn("label", F.col("id")), "links")
+    first = work.keep(jobs.withColumn("label", F.col("id")), "jobs")
+    links = whole(work.keep(_met(first, maps, like, GROUPS), "near"), "links")
     found = components(links, work)
     if not spread:
         return found
@@ -414,10 +446,12 @@ def connect(shared: DataFrame, sets_of: Callable[[Bloom, bool], DataFrame], like
     if apart.isEmpty():
         return found
     rows = work.keep(tied.join(apart, "sig").select("job", "id", "label", "weight"), "open")
-    return components(links.unionAll(linked(_across(rows, work), "more")), work, "edges-again")
+    near = work.keep(_met(work.keep(_across(rows, work, "blocks"), "jobs-again"), maps, like, ACROSS).distinct(), "near-again")
+    more = whole(work.keep(_across(near, work, "blocks-again"), "whole-again"), "more")
+    return components(links.unionAll(more), work, "edges-again")
 
 
-def _across(rows: DataFrame, work: Workspace) -> DataFrame:
+def _across(rows: DataFrame, work: Workspace, name: str) -> DataFrame:
     """Jobs (job, id, label, weight) in which any two sets of one group (job) and different labels meet.
 
     A group that is no larger than a job is one. Of others, the sets of a group's most frequent label are dealt into blocks, and so are the others. Blocks of others meet each other and all of the
@@ -426,7 +460,7 @@ def _across(rows: DataFrame, work: Workspace) -> DataFrame:
     each = rows.groupBy("job", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     top = each.groupBy("job").agg(F.max(F.struct("n", "w", "label")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
     blocks = top.select("job", F.col("top.label").alias("most"), _parts_of(F.col("top.n"), F.col("top.w"), 2).alias("tops"), _parts_of(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w"), 2).alias("rests"), (_parts_of(F.col("n"), F.col("w")) == 1).alias("one"))
-    rows = rows.join(work.keep(blocks, "blocks"), "job").withColumn("rest", F.col("label") != F.col("most"))
+    rows = rows.join(work.keep(blocks, name), "job").withColumn("rest", F.col("label") != F.col("most"))
     block = F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("tops")))
     rows = rows.withColumn("block", block)
     rest = F.transform(F.sequence(F.lit(0).cast("int"), F.col("rests") - 1), lambda k: F.when(F.col("rest"), F.xxhash64("job", F.lit(0), F.least(k, F.col("block")), F.greatest(k, F.col("block")))).otherwise(F.xxhash64("job", F.lit(1), F.col("block"), k)))
@@ -435,13 +469,13 @@ def _across(rows: DataFrame, work: Workspace) -> DataFrame:
     return rows.select(F.explode(jobs).alias("job"), "id", "label", "weight").distinct()
 
 
-def _met(members: DataFrame, sets: DataFrame, like: Likeness, near: bool) -> DataFrame:
+def _met(members: DataFrame, sets: DataFrame, like: Likeness, what: str) -> DataFrame:
     """members: (job, id, label, weight). Partitions are read in order, so a job is all that is held of one."""
     total = members.agg(F.sum("weight")).first()[0] or 0
-    parts = int(max(1, total // (PART * 6 if near else PART)))
+    parts = int(max(1, total // (PART if what == LINKS else PART * 6)))
     rows = members.drop("weight").join(sets, "id").repartition(parts, "job").sortWithinPartitions("job", "n", "id")
-    schema = "job long, id long, label long, weight long" if near else "a long, b long"
-    return rows.select("job", "id", "n", "label", "set").mapInArrow(_meeting(like, near), schema)
+    schema = "a long, b long" if what == LINKS else "job long, id long, label long, weight long"
+    return rows.select("job", "id", "n", "label", "set").mapInArrow(_meeting(like, what), schema)
 
 
 def _sets_of(documents: DataFrame, words: int, clashing: np.ndarray, wanted: Bloom, bits: bool) -> DataFrame:
