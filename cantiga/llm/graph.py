@@ -18,13 +18,13 @@ def components(edges: DataFrame, work: Workspace, name: str = "edges") -> DataFr
     mark = _mark(now)
     for k in range(1, 100):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # minima are tables of their own, so that their joins are plain ones, of which Spark splits a skewed side
+        # the minima are a table of their own, so that their join is a plain one, of which Spark splits a skewed side
         least = work.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}{k}-a")
-        large = work.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}{k}-b")
-        least = work.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}{k}-c")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = work.keep(small.where("u <> v").distinct(), f"{name}{k}")
-        work.drop(f"{name}{k - 1}", *(f"{name}{k}-{x}" for x in "abc"))
+        work.drop(f"{name}{k - 1}", f"{name}{k}-a")
         before, mark = mark, _mark(now)
         if before == mark:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
