@@ -97,14 +97,14 @@ _SIM = "CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE round(1 - lev
 
 
 @query(
-    f"""WITH d AS (SELECT DISTINCT song_id, {duck.normalize('text')} AS w FROM words WHERE seg <= 1),
+    f"""WITH d AS (SELECT DISTINCT song_id, {duck.normalize('text')} AS w FROM words),
     d2 AS (SELECT * FROM d WHERE w <> '')
     SELECT x.song_id, x.w AS a, y.w AS b, CAST(round(1 - levenshtein(x.w, y.w) / greatest(length(x.w), length(y.w)), 6) AS DOUBLE) AS sim
     FROM d2 x JOIN d2 y ON x.song_id = y.song_id AND x.w < y.w WHERE round(1 - levenshtein(x.w, y.w) / greatest(length(x.w), length(y.w)), 6) >= 0.6""",
     "words",
 )
 def q_similarity(t: Tables) -> DataFrame:
-    w = fixtures.words(t).where("seg <= 1").select("song_id", text.normalize(F.col("text")).alias("w")).where("w <> ''").distinct()
+    w = fixtures.words(t).select("song_id", text.normalize(F.col("text")).alias("w")).where("w <> ''").distinct()
     pairs = w.withColumnRenamed("w", "a").join(w.withColumnRenamed("w", "b"), "song_id").where("a < b")
     return pairs.select("song_id", "a", "b", r6(text.similarity(F.col("a"), F.col("b"))).alias("sim")).where("sim >= 0.6")
 
@@ -217,7 +217,7 @@ def q_humming(t: Tables) -> DataFrame:
 
 
 _PIECES = f"""pieces AS (SELECT song_id, line_no * 2 + k AS line_index, array_to_string(CASE k WHEN 0 THEN w[:-2] ELSE w[-1:] END, ' ') AS text, line_no * 1000.0 + k * 600 AS start_ms, line_no * 1000.0 + k * 600 + 500 AS end_ms, CAST((line_no * 2 + k) % 10 / 10.0 AS DOUBLE) AS confidence
-      FROM (SELECT song_id, line_no, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM lines WHERE line_no < 12), (SELECT unnest([0, 1]) AS k)),
+      FROM (SELECT song_id, line_no, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM lines), (SELECT unnest([0, 1]) AS k)),
     pn AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY line_index) AS rn, {duck.normalize('text')} AS norm, octet_length(encode(replace(text, ' ', ''))) AS wt, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS nw FROM pieces WHERE text <> '')"""
 
 
@@ -237,7 +237,7 @@ def q_tail_merge(t: Tables) -> DataFrame:
 def _pieces(t: Tables) -> DataFrame:
     """Lines split into all but their last two words, and their last."""
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    rows = fixtures.lines(t).where("line_no < 12").withColumn("w", w).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = fixtures.lines(t).withColumn("w", w).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     head, last = F.slice("w", 1, F.greatest(F.lit(0), F.size("w") - 1)), F.slice("w", F.greatest(F.lit(1), F.size("w")), 1)
     start = F.col("line_no") * 1000.0 + F.col("k") * 600.0
     index = F.col("line_no") * 2 + F.col("k")
@@ -409,7 +409,7 @@ def q_song_lookup(t: Tables) -> DataFrame:
     return readers.song_lines(songs, 7).select("song_id", "i", r6("t_s").alias("t_s"), F.array_join("words", " ").alias("norm"))
 
 
-_RAW = "SELECT song_id, line_no, CASE WHEN line_no % 6 = 1 THEN ['Ref.', '[Chorus 1]', 'Refren:'][1 + (song_id + line_no // 6) % 3] ELSE text END AS text FROM lines WHERE line_no < 20"
+_RAW = "SELECT song_id, line_no, CASE WHEN line_no % 6 = 1 THEN ['Ref.', '[Chorus 1]', 'Refren:'][1 + (song_id + line_no // 6) % 3] ELSE text END AS text FROM lines"
 
 
 @query(
@@ -425,24 +425,27 @@ _RAW = "SELECT song_id, line_no, CASE WHEN line_no % 6 = 1 THEN ['Ref.', '[Choru
 )
 def q_chorus_expand(t: Tables) -> DataFrame:
     marker = F.element_at(F.array(F.lit("Ref."), F.lit("[Chorus 1]"), F.lit("Refren:")), (1 + (F.col("song_id") + F.floor(F.col("line_no") / 6)) % 3).cast("int"))
-    raw = fixtures.lines(t).where("line_no < 20").withColumn("text", F.when(F.col("line_no") % 6 == 1, marker).otherwise(F.col("text")))
+    raw = fixtures.lines(t).withColumn("text", F.when(F.col("line_no") % 6 == 1, marker).otherwise(F.col("text")))
     return lyrics.parse_lyrics(raw)
 
 
 # --- frames and samples ---
 
 _VOCABULARY = "MAP {" + ", ".join(f"{duck.quoted(k)}: {v}" for k, v in ctc.VOCABULARY.items()) + "}"
-_TOKENS = f"SELECT song_id, line_no, list_filter(list_transform(string_split({duck.normalize('text')}, ''), lambda c: {_VOCABULARY}[c]), lambda x: x IS NOT NULL) AS toks FROM lines WHERE line_no < 3"
+_TOKENS = f"SELECT song_id, line_no, list_filter(list_transform(string_split({duck.normalize('text')}, ''), lambda c: {_VOCABULARY}[c]), lambda x: x IS NOT NULL) AS toks FROM lines"
 
 
 @query(
-    f"""WITH k AS ({_TOKENS}) SELECT song_id, line_no, CAST(s AS BIGINT) AS state, CAST(CASE WHEN s % 4 = 1 THEN toks[s // 4 + 1] ELSE 0 END AS BIGINT) AS token_id, CAST(CASE WHEN s % 4 = 1 THEN s // 4 ELSE -1 END AS BIGINT) AS serial
-    FROM (SELECT *, unnest(range(0, greatest(0, 4 * len(toks) - 1))) AS s FROM k)""",
+    f"""WITH k AS ({_TOKENS}), s AS (SELECT song_id, line_no, s AS state, CASE WHEN s % 4 = 1 THEN toks[s // 4 + 1] ELSE 0 END AS token_id, CASE WHEN s % 4 = 1 THEN s // 4 ELSE -1 END AS serial
+      FROM (SELECT *, unnest(range(0, greatest(0, 4 * len(toks) - 1))) AS s FROM k))
+    SELECT song_id, line_no, count(*) AS n_states, CAST(sum((state + 1) * token_id) AS BIGINT) AS tokens, CAST(sum((state + 1) * serial) AS BIGINT) AS serials FROM s GROUP BY song_id, line_no""",
     "lines",
 )
 def q_tokenize_path(t: Tables) -> DataFrame:
-    rows = fixtures.lines(t).where("line_no < 3").withColumn("tokens", signal.tokenize(text.normalize(F.col("text")), ctc.VOCABULARY))
-    return rows.select("song_id", "line_no", F.explode(signal.ctc_path(F.col("tokens"))).alias("s")).select("song_id", "line_no", "s.*")
+    """Sums over each line's states that tell any two paths apart which differ in one state."""
+    rows = fixtures.lines(t).withColumn("path", signal.bound(signal.tokenize(text.normalize(F.col("text")), ctc.VOCABULARY), signal.ctc_path)).where(F.size("path") > 0)
+    total = lambda c: F.aggregate("path", F.lit(0).cast("long"), lambda a, s: a + (s["state"] + 1) * s[c])
+    return rows.select("song_id", "line_no", F.size("path").alias("n_states"), total("token_id").alias("tokens"), total("serial").alias("serials"))
 
 
 @query(
@@ -471,18 +474,13 @@ def q_pcm16(t: Tables) -> DataFrame:
 
 
 def _edited(t: Tables) -> DataFrame:
-    """The lines that `_EDITED` has."""
-    return _all_edited(t).where("line < 40")
-
-
-def _all_edited(t: Tables) -> DataFrame:
     """(song_id, line, words, pred_words): lines and the same without every fifth word."""
     w = text.space_words(text.score_normalize(F.col("text")))
     rows = fixtures.lines(t).select("song_id", F.col("line_no").alias("line"), w.alias("words")).where(F.size("words") > 0)
     return rows.withColumn("pred_words", F.filter("words", lambda x, i: (i + F.col("line")) % (2 + F.col("line") % 4) != 0))
 
 
-_EDITED = f"""ed AS (SELECT *, list_filter(words, lambda x, i: (i - 1 + line) % (2 + line % 4) <> 0) AS pred_words FROM (SELECT song_id, line_no AS line, list_filter(string_split({duck.score_normalize('text')}, ' '), lambda x: x <> '') AS words FROM lines WHERE line_no < 40) WHERE len(words) > 0),
+_EDITED = f"""ed AS (SELECT *, list_filter(words, lambda x, i: (i - 1 + line) % (2 + line % 4) <> 0) AS pred_words FROM (SELECT song_id, line_no AS line, list_filter(string_split({duck.score_normalize('text')}, ' '), lambda x: x <> '') AS words FROM lines) WHERE len(words) > 0),
     rc AS (SELECT song_id, line, w, count(*) AS n FROM (SELECT song_id, line, unnest(words) AS w FROM ed) GROUP BY ALL), pc AS (SELECT song_id, line, w, count(*) AS n FROM (SELECT song_id, line, unnest(pred_words) AS w FROM ed) GROUP BY ALL),
     sc AS (SELECT rc.song_id, rc.line, CAST(sum(least(rc.n, coalesce(pc.n, 0))) AS DOUBLE) / sum(rc.n) AS c FROM rc LEFT JOIN pc ON pc.song_id = rc.song_id AND pc.line = rc.line AND pc.w = rc.w GROUP BY ALL)"""
 
@@ -579,7 +577,7 @@ def q_refine(t: Tables) -> DataFrame:
 
 @query()
 def q_block_score(t: Tables) -> DataFrame:
-    rows = _all_edited(t)
+    rows = _edited(t)
     gt = rows.select("song_id", F.col("line").alias("i"), (F.col("line") * 2.0).alias("t_s"), "words")
     pred = rows.where("line % 4 <> 3").select("song_id", F.col("line").alias("j"), (F.col("line") * 2.0 + 0.3).alias("t_s"), F.col("pred_words").alias("words"))
     return score.totals(score.score(gt, pred))
