@@ -444,7 +444,7 @@ _TOKENS = f"SELECT song_id, line_no, list_filter(list_transform(string_split({du
 def q_tokenize_path(t: Tables) -> DataFrame:
     """Sums over each line's states that tell any two paths apart which differ in one state."""
     rows = fixtures.lines(t).withColumn("path", signal.bound(signal.tokenize(text.normalize(F.col("text")), ctc.VOCABULARY), signal.ctc_path)).where(F.size("path") > 0)
-    total = lambda c: F.aggregate("path", F.lit(0).cast("long"), lambda a, s: a + (s["state"] + 1) * s[c])
+    total = lambda c: F.aggregate("path", F.lit(0).cast("long"), lambda a, s: a + (s["state"].cast("long") + 1) * s[c])
     return rows.select("song_id", "line_no", F.size("path").alias("n_states"), total("token_id").alias("tokens"), total("serial").alias("serials"))
 
 
