@@ -40,8 +40,8 @@ BUCKET = 400_000
 #: Sets that meet in one job, and their elements: a family of sets that are related by shared signatures, directly or not, or
 #: a part of a larger family.
 FAMILY, JOB, ELEMENTS = 4096, 512, 2_000_000
-#: Elements of the sets of one partition of jobs, about.
-PART = 4_000_000
+#: Elements of the sets of one partition of jobs, about, be they met whole or by bitmaps: some seconds of work.
+PART = 2_000_000
 #: Signatures of a shingle, for a distance of as many parts as are alike.
 SIGNATURES = 1.8
 #: Sets under a node, and bits of a bitmap.
@@ -472,7 +472,7 @@ def _across(rows: DataFrame, work: Workspace, name: str) -> DataFrame:
 def _met(members: DataFrame, sets: DataFrame, like: Likeness, what: str) -> DataFrame:
     """members: (job, id, label, weight). Partitions are read in order, so a job is all that is held of one."""
     total = members.agg(F.sum("weight")).first()[0] or 0
-    parts = int(max(1, total // (PART if what == LINKS else PART * 6)))
+    parts = int(max(1, total // PART))
     rows = members.drop("weight").join(sets, "id").repartition(parts, "job").sortWithinPartitions("job", "n", "id")
     schema = "a long, b long" if what == LINKS else "job long, id long, label long, weight long"
     return rows.select("job", "id", "n", "label", "set").mapInArrow(_meeting(like, what), schema)
