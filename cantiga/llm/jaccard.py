@@ -13,8 +13,8 @@ be connected. First the leaves have bitmaps alone, less than an eighth of the se
 pairs are compared exactly.
 
 Contract. Links within a job become a spanning forest. In families beyond the bound a second round of jobs takes the
-signatures whose sets are still in several components: bitmaps tell which sets of two components may be linked, and those meet once for
-the two, whole. So every linked pair ends in one component.
+signatures whose sets are still in several components: bitmaps tell which sets may be linked with one of another component, and those
+meet whole, in jobs no larger than those of the bitmaps. So every linked pair ends in one component.
 Equal sets are one set throughout.
 """
 
@@ -288,9 +288,18 @@ class Tree:
             good &= (i[:, None] < j[None, :]) if level == 1 else (i[:, None] <= j[None, :])
         return i, j, good
 
-    def across(self, like: Likeness, group: np.ndarray) -> np.ndarray:
-        """All pairs of sets of different groups whose bitmaps leave enough overlap for a link."""
-        out, todo = [np.zeros((0, 2), np.int64)], [(len(self.levels) - 1, 0, 0)]
+    def apart(self, like: Likeness, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets that bitmaps leave enough overlap for a link with one of another group, and the first of those that chains of
+        such pairs and groups tie each of them to, as a place among them. However many pairs there are, a set comes once."""
+        wanted, todo = np.zeros(len(self.size), bool), [(len(self.levels) - 1, 0, 0)]
+        parent = {int(g): int(g) for g in np.unique(group)}
+
+        def root(g: int) -> int:
+            while parent[g] != g:
+                parent[g] = parent[parent[g]]
+                g = parent[g]
+            return g
+
         while todo:
             level, a, b = todo.pop()
             span = LEAVES**level
@@ -298,13 +307,19 @@ class Tree:
             if not level or (inside == inside[0]).all():
                 continue
             i, j, good = self._open(level, a, b, like)
-            if level == 1:
-                good &= group[i][:, None] != group[j][None, :]
-                at = np.argwhere(good)
-                out.append(np.stack((i[at[:, 0]], j[at[:, 1]]), 1))
-            else:
+            if level > 1:
                 todo.extend((level - 1, int(i[p]), int(j[q])) for p, q in np.argwhere(good))
-        return np.concatenate(out)
+                continue
+            good &= group[i][:, None] != group[j][None, :]
+            at = np.argwhere(good)
+            x, y = i[at[:, 0]], j[at[:, 1]]
+            wanted[x] = wanted[y] = True
+            for g, h in {(int(g), int(h)) for g, h in zip(group[x], group[y], strict=True)}:
+                g, h = root(g), root(h)
+                parent[max(g, h)] = min(g, h)
+        at = np.flatnonzero(wanted)
+        _, first, which = np.unique([root(g) for g in group[at].tolist()], return_index=True, return_inverse=True)
+        return at, first[which] if len(at) else np.zeros(0, np.int64)
 
 
 def bitmaps(values: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
@@ -336,7 +351,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 #: What comes of sets that meet. Of bitmaps: groups of sets that may be linked, from labels that are apart (job, id, label, weight); or
-#: the sets of any two labels that may be linked with one of the other, as a job of the two. Of whole sets: links (a, b).
+#: of such groups only the sets that may be linked with one of another label. Of whole sets: links (a, b).
 GROUPS, ACROSS, LINKS = "groups", "across", "links"
 
 
@@ -354,11 +369,9 @@ def _meeting(like: Likeness, what: str):
             return ids[np.array(Tree.of(sets).join(like, labels), np.int64).reshape(-1, 2)]
         tree = Tree(sizes, _folded(raw))
         if what == ACROSS:
-            pairs = tree.across(like, labels)
-            low, high = np.sort(labels[pairs], axis=1).T
-            name = signed(mix(mix(low.astype(np.int64).view(U)) + high.astype(np.int64).view(U)))
-            at = pairs.T.ravel()
-            return np.unique(np.stack((np.tile(name, 2), ids[at], labels[at], sizes[at]), 1), axis=0)
+            at, group = tree.apart(like, labels)
+            name = signed(mix(mix(ids[at[group]].view(U)) ^ np.array([job]).view(U)))
+            return np.stack((name, ids[at], labels[at], sizes[at]), 1)
         tree.join(like, labels)
         _, group = np.unique(tree.roots, return_inverse=True)
         low, high = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
@@ -446,8 +459,11 @@ def connect(shared: DataFrame, sets_of: Callable[[Bloom, bool], DataFrame], like
     if apart.isEmpty():
         return found
     rows = work.keep(tied.join(apart, "sig").select("job", "id", "label", "weight"), "open")
-    near = work.keep(_met(work.keep(_across(rows, work, "blocks"), "jobs-again"), maps, like, ACROSS).distinct(), "near-again")
-    more = whole(work.keep(_across(near, work, "blocks-again"), "whole-again"), "more")
+    near = work.keep(_met(work.keep(_across(rows, work, "blocks"), "jobs-again"), maps, like, ACROSS), "near-again")
+    # groups of the same sets, from several jobs, meet once
+    groups = near.groupBy("job").agg(F.bit_xor(F.xxhash64("id")).alias("sets"), F.count("*").alias("n"))
+    once = groups.groupBy("sets", "n").agg(F.min("job").alias("job")).select("job")
+    more = whole(work.keep(near.join(once, "job", "left_semi"), "whole-again"), "more")
     return components(links.unionAll(more), work, "edges-again")
 
 

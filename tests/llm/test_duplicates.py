@@ -3,11 +3,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cantiga.llm import fuse, jaccard
-from cantiga.llm.columns import mix
+from cantiga.llm.columns import U, mix
 from cantiga.llm.exact import find_copies
 from cantiga.llm.jaccard import Likeness, Tree, schemes, similar_documents
 from cantiga.llm.substrings import repeated_passages, tune
@@ -256,3 +257,22 @@ def test_rows_without_id_are_one_document_that_comes_last(documents):
     rows = [(None, a), (5, a), (None, b), (None, b), (7, f"{c}\n{prose(9)}"), (7, f"{prose(70)}\n{c}"), (8, c)]
     got = repeated_passages(documents(rows)).collect()
     assert sorted(((r.doc_id, r.n_words, r.first_doc_id, r.removed) for r in got), key=str) == sorted([(None, 60, 5, True), (5, 60, 5, False), (7, 60, 7, False), (7, 60, 7, False), (8, 60, 7, True)], key=str)
+
+
+def test_sets_that_bitmaps_do_not_tell_apart_are_one_row_each():
+    rng, like = np.random.default_rng(5), jaccard.Likeness(80, 100)
+    values = [np.sort(rng.choice(100, 70, replace=False)).astype(U) for _ in range(90)] + [rng.integers(0, 1 << 40, 75).astype(U) for _ in range(30)]
+    order = np.argsort([len(v) for v in values], kind="stable")
+    sets, labels = [values[k] for k in order], np.arange(120) // 2
+    bits = [jaccard.bitmaps(v, np.array([len(v)]), 512)[0].tobytes() for v in sets]
+    size = np.array([len(v) for v in sets])
+    columns = [np.full(120, 7), np.arange(120), size, labels]
+    job = pa.record_batch([*(pa.array(c, pa.int64()) for c in columns), pa.array(bits, pa.binary())], names=["job", "id", "n", "label", "set"])
+    got = [r for b in jaccard._meeting(like, jaccard.ACROSS)(iter([job])) for r in b.to_pylist()]
+    assert 0 < len(got) == len({r["id"] for r in got}) <= 120
+    group = {r["id"]: r["job"] for r in got}
+    raw = [np.frombuffer(b, np.uint8) for b in bits]
+    for a in range(120):
+        for b in range(a):
+            if labels[a] != labels[b] and np.bitwise_count(raw[a] & raw[b]).sum() + min(size[a] - np.bitwise_count(raw[a]).sum(), size[b] - np.bitwise_count(raw[b]).sum()) >= like.needed(int(size[a] + size[b])):
+                assert group[a] == group[b]
