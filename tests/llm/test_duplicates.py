@@ -261,7 +261,7 @@ def test_rows_without_id_are_one_document_that_comes_last(documents):
 
 def test_sets_that_bitmaps_do_not_tell_apart_are_one_row_each():
     rng, like = np.random.default_rng(5), jaccard.Likeness(80, 100)
-    values = [np.sort(rng.choice(100, 70, replace=False)).astype(U) for _ in range(90)] + [rng.integers(0, 1 << 40, 75).astype(U) for _ in range(30)]
+    values = [np.sort(rng.choice(75, 70, replace=False)).astype(U) for _ in range(90)] + [rng.integers(0, 1 << 40, 75).astype(U) for _ in range(30)]
     order = np.argsort([len(v) for v in values], kind="stable")
     sets, labels = [values[k] for k in order], np.arange(120) // 2
     bits = [jaccard.bitmaps(v, np.array([len(v)]), 512)[0].tobytes() for v in sets]
