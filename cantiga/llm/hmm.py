@@ -2,7 +2,7 @@
 
 Words are counted over all training documents. The most frequent `SYMBOLS` of them are symbols of the model; all others are one
 further symbol, which emits a word in proportion to its smoothed count, so every word has a probability and they add up to one.
-Baum-Welch starts from a bounded sample and then takes its expected counts from all training documents, added up across
+Every pass of Baum-Welch takes its expected counts from all training documents, added up across
 partitions; nothing but the counts, of fixed size, reaches the driver. Scores are exact: a scaled forward recursion over the
 whole text, many texts side by side.
 
@@ -21,14 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import Index, U, buffers, key, long_array, mix, pieces, signed, words
-from .labelled import first_by_hash
 from .runtime import Workspace, documents
 from .stats import summed
 
 #: Hidden states; symbols; words whose counts are sent to every executor.
 STATES, SYMBOLS, HEAD = 8, 1 << 14, 1 << 17
-#: Training documents that the start comes from, passes over them, and passes over all training documents.
-SAMPLE, SAMPLE_PASSES, PASSES = 300, 12, 2
+#: Passes over all training documents, at most, and the gain of log10 likelihood a token below which they end.
+PASSES, GAIN = 14, 1e-4
 END = key(41)
 #: Tokens that are run side by side; a longer text stands alone.
 TOKENS = 1 << 19
@@ -120,58 +119,57 @@ class Model(NamedTuple):
 
 
 def _order(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts from the longest on, and how many of them have a token at each step."""
+    """Places of the tokens, step by step and at each step from the longest text on, and how many texts have a token at each step."""
     n = np.diff(bounds)
     order = np.argsort(-n, kind="stable")
-    return order, np.searchsorted(-n[order], -np.arange(n.max() if len(n) else 0), "left")
+    live = np.searchsorted(-n[order], -np.arange(n.max() if len(n) else 0), "left")
+    start = np.cumsum(live) - live
+    step = np.repeat(np.arange(len(live)), live)
+    return bounds[:-1][order[np.arange(len(step)) - start[step]]] + step, live
 
 
 def forward(model: Model, symbols: np.ndarray, bounds: np.ndarray, keep: bool = False):
-    """The log10 likelihood of each text; with keep also the scaled forward rows, the scales and the order."""
-    order, live = _order(bounds)
-    at, scale = bounds[:-1][order], np.ones(len(symbols))
-    rows = np.empty((len(symbols), len(model.start))) if keep else None
-    a = None
+    """The log10 likelihood of each text; with keep also, step by step, emissions, scaled forward rows and scales, and the order."""
+    place, live = _order(bounds)
+    emit, scale, one = model.emit[symbols[place]], np.ones(len(symbols)), np.ones(len(model.start))
+    rows = emit.copy() if keep else emit
+    a, z = None, 0
     for t, n in enumerate(live.tolist()):
-        e = model.emit[symbols[at[:n] + t]]
-        a = (model.start if t == 0 else a[:n] @ model.move) * e
-        s = a.sum(1)
+        now, z = slice(z, z + n), z + n
+        a = (model.start if t == 0 else a[:n] @ model.move) * emit[now]
+        s = a @ one
         a /= s[:, None]
-        scale[at[:n] + t] = s
-        if keep:
-            rows[at[:n] + t] = a
-    log = np.concatenate(([0.0], np.cumsum(np.log10(scale))))
+        scale[now] = s
+        rows[now] = a
+    log = np.zeros(len(symbols) + 1)
+    log[1 + place] = np.log10(scale)
+    log = np.cumsum(log)
     score = log[bounds[1:]] - log[bounds[:-1]]
-    return (score, rows, scale, order, live) if keep else score
+    return (score, emit, rows, scale, place, live) if keep else score
 
 
 def expect(model: Model, symbols: np.ndarray, bounds: np.ndarray, into: np.ndarray) -> None:
     """Adds the expected counts of starts, moves and emissions, and the log10 likelihood, to a vector."""
-    score, alpha, scale, order, live = forward(model, symbols, bounds, keep=True)
-    k = len(model.start)
-    at = bounds[:-1][order]
-    beta = np.ones((len(order), k))
-    ahead = np.empty((len(symbols), k))  # emission times backward row over scale, of the token after
-    gamma = alpha
-    for t in range(len(live) - 1, -1, -1):
-        n = live[t]
-        where = at[:n] + t
-        more = int(live[t + 1]) if t + 1 < len(live) else 0
-        b = beta[:n]
+    score, ahead, gamma, scale, place, live = forward(model, symbols, bounds, keep=True)
+    k, texts = len(model.start), len(bounds) - 1
+    if not len(symbols):
+        return
+    ahead /= scale[:, None]  # emission times backward row over scale, of the token after
+    back, z, more = np.ascontiguousarray(model.move.T), len(symbols), 0
+    for n in live[::-1].tolist():
         if more:
-            b[:more] = ahead[where[:more] + 1] @ model.move.T
-        ahead[where] = model.emit[symbols[where]] * b / scale[where][:, None]
-    inner = np.ones(len(symbols), bool)
-    inner[bounds[1:] - 1] = False
-    first = np.flatnonzero(inner)
-    into[k : k + k * k] += (model.move * (gamma[first].T @ ahead[first + 1])).ravel()
+            ahead[z - n : z - n + more] *= ahead[z : z + more] @ back
+        z, more = z - n, n
+    # tokens but the first, and those before them
+    before = np.arange(texts, len(symbols)) - np.repeat(live[:-1], live[1:])
+    gamma = gamma[before]
+    into[k : k + k * k] += (model.move * (gamma.T @ ahead[texts:])).ravel()
     # a token's posterior is its predicted row times what is ahead of it
-    post = np.empty_like(gamma)
-    starts = bounds[:-1]
-    post[starts] = model.start * ahead[starts]
-    post[first + 1] = (gamma[first] @ model.move) * ahead[first + 1]
-    into[:k] += post[starts].sum(0)
-    width = len(model.emit)
+    post = ahead
+    post[:texts] *= model.start
+    post[texts:] *= gamma @ model.move
+    into[:k] += post[:texts].sum(0)
+    width, symbols = len(model.emit), symbols[place]
     base = k + k * k
     for j in range(k):
         into[base + j : base + width * k : k] += np.bincount(symbols, post[:, j], width)
@@ -197,9 +195,9 @@ def initial(shares: np.ndarray, states: int = STATES) -> Model:
     return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def train(texts: DataFrame, sample: DataFrame, symbol_words: np.ndarray, shares: np.ndarray, states: int = STATES, passes: int = PASSES, sample_passes: int = SAMPLE_PASSES) -> Model:
-    """Passes over the sample on the driver, then over all texts on the executors."""
-    model = _train_here(initial(shares, states), sample, symbol_words, sample_passes)
+def train(texts: DataFrame, symbol_words: np.ndarray, shares: np.ndarray, states: int = STATES, passes: int = PASSES, gain: float = GAIN) -> Model:
+    """Passes over all texts on the executors, from symbol shares tilted by hashes on, until they gain little."""
+    model, before = initial(shares, states), -np.inf
     for _ in range(passes):
         sent = texts.sparkSession.sparkContext.broadcast((model, symbol_words))
 
@@ -209,33 +207,18 @@ def train(texts: DataFrame, sample: DataFrame, symbol_words: np.ndarray, shares:
             for _, _, t in _groups(b):
                 expect(model, _symbols(index, t.hashes, len(known)), t.bounds, into)
 
-        model = improved(model, summed(texts, ["text"], count, model.size))
-    return model
-
-
-def _train_here(model: Model, sample: DataFrame, symbol_words: np.ndarray, passes: int) -> Model:
-    """The start: passes over the whole texts of a bounded sample, of which the driver gets the words' hashes."""
-    index = Index(symbol_words)
-    held = [np.frombuffer(r.tokens, U) for r in sample.mapInArrow(_hashed, "tokens binary").collect()]
-    groups: list[list[np.ndarray]] = []
-    for h in sorted(held, key=lambda h: (len(h), h.tobytes())):
-        if not groups or sum(map(len, groups[-1])) + len(h) > TOKENS:
-            groups.append([])
-        groups[-1].append(h)
-    for _ in range(passes if held else 0):
-        into = np.zeros(model.size)
-        for g in groups:
-            expect(model, _symbols(index, np.concatenate(g), len(symbol_words)), np.concatenate(([0], np.cumsum([len(h) for h in g]))), into)
-        model = improved(model, into)
+        counts = summed(texts, ["text"], count, model.size)
+        sent.unpersist()
+        model = improved(model, counts)
+        # each token is emitted once
+        k, now = states, counts[-1]
+        n = counts[k + k * k : -1].sum()
+        if now - before <= gain * n:
+            break
+        before = now
     return model
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for _, _, t in _groups(b):
-            yield pa.record_batch([pa.array([t.hashes[a:z].tobytes() for a, z in zip(t.bounds, t.bounds[1:])], pa.binary())], names=["tokens"])
-
-
 _kept: dict[tuple, Index] = {}
 
 
@@ -273,8 +256,7 @@ def score_documents(documents: DataFrame, states: int = STATES, symbols: int = S
     # the last symbol's words: smoothed counts of all words that are no symbols, and of the unknown
     other = float(n + 0.5 * (v + 1) - (known_count[: len(symbol_words)] + 0.5).sum())
     shares = np.append(known_count[: len(symbol_words)] + 0.5, other)
-    few = texts.join(F.broadcast(first_by_hash(texts.select("doc_id"), "doc_id", SAMPLE)), "doc_id", "left_semi")
-    model = train(texts, few, symbol_words, shares / shares.sum(), states)
+    model = train(texts, symbol_words, shares / shares.sum(), states)
     sent = spark.sparkContext.broadcast((model, known, known_count, len(symbol_words)))
     floor, log_other = float(np.log10(n + 0.5 * (v + 1))), float(np.log10(other))
 

@@ -207,3 +207,21 @@ def test_every_notice_has_a_key_and_columns_equal_python(spark):
     assert all(any(k in t.lower() for k in licences.KEYS) for t in texts)
     got = spark.createDataFrame([(t,) for t in texts], "text string").select(licences.grams_column(licences.F.col("text")).alias("g")).collect()
     assert [sorted(r.g) for r in got] == [sorted(licences.grams_of(t)) for t in texts]
+
+
+def test_every_pass_of_training_sees_every_document(spark, documents, monkeypatch):
+    seen = []
+
+    def summed(df, columns, count, length):
+        into = np.zeros(length)
+        for b in df.select(*columns).toArrow().to_batches():
+            count(b, into)
+        seen.append(round(into[hmm.STATES + hmm.STATES**2 : -1].sum()))
+        return into
+
+    monkeypatch.setattr(hmm, "summed", summed)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(GOOD) if i % 2 else f"w{rng.randint(0, 9)}" for _ in range(20))) for i in range(400)]
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert hmm.score_documents(documents(rows)).count() == 400
+    assert len(train) > 300 and 2 < len(seen) <= hmm.PASSES and set(seen) == {21 * len(train)}
