@@ -225,3 +225,10 @@ def test_every_pass_of_training_sees_every_document(spark, documents, monkeypatc
     train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     assert hmm.score_documents(documents(rows)).count() == 400
     assert len(train) > 300 and 2 < len(seen) <= hmm.PASSES and set(seen) == {21 * len(train)}
+
+
+def test_a_notice_without_a_key_is_found(documents):
+    text = "Released under MIT."
+    assert not any(k in text.lower() for k in licences.KEYS)
+    got = licences.scan(documents([(1, f"the river was old\n{text}\nand we came home")])).collect()
+    assert [(r.doc_id, r.paragraph, r.family) for r in got] == [(1, 1, "mit")]
