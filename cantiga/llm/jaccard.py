@@ -37,6 +37,8 @@ from .stats import Bloom
 CLASS = 1.4
 #: Signatures of a bucket, about.
 BUCKET = 400_000
+#: Signatures that are sorted and packed at once, about; a batch of more is packed in several parts.
+PAIRS = 1 << 19
 #: Sets that meet in one job, and their elements: a family of sets that are related by shared signatures, directly or not, or
 #: a part of a larger family.
 FAMILY, JOB, ELEMENTS = 4096, 512, 2_000_000
@@ -167,6 +169,9 @@ def _routed(documents: DataFrame, words: int, like: Likeness, classes: list[Sche
                 s = Sets(s.values[np.repeat(fresh, np.diff(s.bounds))], np.concatenate(([0], np.cumsum(np.diff(s.bounds) * fresh))))
                 sig, row = signatures(s, like, classes)
                 pairs.append(np.stack((sig, ident[row]), 1))
+                if sum(map(len, pairs)) > PAIRS:
+                    yield packed_stars(np.concatenate(pairs), buckets)
+                    pairs = pairs[:1]
             yield packed_stars(np.concatenate(pairs), buckets)
 
     return documents.select("text").mapInArrow(run, STARS)

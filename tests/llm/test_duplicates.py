@@ -276,3 +276,21 @@ def test_sets_that_bitmaps_do_not_tell_apart_are_one_row_each():
         for b in range(a):
             if labels[a] != labels[b] and np.bitwise_count(raw[a] & raw[b]).sum() + min(size[a] - np.bitwise_count(raw[a]).sum(), size[b] - np.bitwise_count(raw[b]).sum()) >= like.needed(int(size[a] + size[b])):
                 assert group[a] == group[b]
+
+
+def test_signatures_of_a_batch_are_packed_in_bounded_parts(monkeypatch):
+    class Documents:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    monkeypatch.setattr(jaccard, "PAIRS", 3000, raising=False)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(400)) for _ in range(200)]
+    like = Likeness(80, 100)
+    run = jaccard._routed(Documents(), 5, like, schemes(like, 1000), np.zeros(0, U), 4)
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    sizes = [sum(map(len, b.column("rows").to_pylist())) // 16 for b in run(iter([batch]))]
+    assert len(sizes) > 3 and max(sizes) < sum(sizes) / 3
