@@ -123,12 +123,23 @@ def _list(values) -> Column:
 
 def grams_column(text: Column) -> Column:
     """`grams_of` as an expression."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"), F.lit(1))
 
     def several(w: Column, n: int) -> Column:
         return F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws(" ", F.slice(w, i, n)))
 
-    return F.array_distinct(F.concat(w, several(w, 2), several(w, 3)))
+    # the words are the variable of a function, as an expression inside one is computed again for each element
+    words = F.array(F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"), F.lit(1)))
+    return F.element_at(F.transform(words, lambda w: F.array_distinct(F.concat(w, several(w, 2), several(w, 3)))), 1)
+
+
+def any_of(words: list[str]) -> str:
+    """A regular expression of any of the words, branching letter by letter, so that few are tried at a place."""
+    if len(words) == 1:
+        return re.escape(words[0])
+    first = defaultdict(list)
+    for w in words:
+        first[w[:1]].append(w[1:])
+    return "(?:" + "|".join(re.escape(c) + any_of(rest) if c else "" for c, rest in sorted(first.items(), reverse=True)) + ")"
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -146,7 +157,7 @@ def scan(documents: DataFrame) -> DataFrame:
 
     # an n-gram of the vocabulary has a word of the vocabulary, and without any the bias says unknown
     single = [g for g in words if " " not in g]
-    likely = "(?<![a-z0-9])(?:" + "|".join(re.escape(g) for g in sorted(single, key=lambda g: (-len(g), g))) + ")(?![a-z0-9])"
+    likely = f"(?<![a-z0-9]){any_of(single)}(?![a-z0-9])"
     few = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
     few = few.where(F.lower("text").rlike(likely))
     few = once(few, "grams", grams_column(F.col("text")))

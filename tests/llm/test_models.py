@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -232,3 +233,16 @@ def test_a_notice_without_a_key_is_found(documents):
     assert not any(k in text.lower() for k in licences.KEYS)
     got = licences.scan(documents([(1, f"the river was old\n{text}\nand we came home")])).collect()
     assert [(r.doc_id, r.paragraph, r.family) for r in got] == [(1, 1, "mit")]
+
+
+def test_words_of_a_long_paragraph_are_found_once(documents):
+    text = " ".join(f"w{k % 997}" for k in range(30_000)) + " Released under the MIT License. " + " ".join(f"v{k % 991}" for k in range(30_000))
+    began = time.monotonic()
+    assert licences.scan(documents([(1, text), (2, "MIT License")])).count() >= 1
+    assert time.monotonic() - began < 40
+
+
+def test_any_of_is_an_alternation():
+    words = ["a", "ab", "abc", "b.c", "b-c", "mpl", "mpl-2.0"]
+    assert all(re.fullmatch(licences.any_of(words), w) for w in words)
+    assert not any(re.fullmatch(licences.any_of(words), w) for w in ("", "ac", "bxc", "mpl-", "mpl-2x0"))
