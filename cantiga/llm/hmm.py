@@ -12,7 +12,10 @@ larger the corpus, are joined by word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +34,8 @@ PASSES, GAIN = 14, 1e-4
 END = key(41)
 #: Tokens that are run side by side; a longer text stands alone.
 TOKENS = 1 << 19
+#: Tokens of training texts that are put in order of length together, and those of a group that is run side by side.
+HELD, GROUP = 1 << 23, 1 << 18
 
 
 def training(doc_id: str = "doc_id") -> Column:
@@ -108,6 +113,18 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
     return np.array([r.word for r in rows], np.int64).view(U), np.array([r["count"] for r in rows], np.float64)
 
 
+@lru_cache(1)
+def one_thread() -> None:
+    """Tasks have a core each: further threads of OpenBLAS would only wait in loops, which doubles the CPU seconds."""
+    maps = Path("/proc/self/maps")
+    for path in {line.split()[-1] for line in maps.read_text().splitlines() if "openblas" in line} if maps.exists() else ():
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 class Model(NamedTuple):
     start: np.ndarray  #: states
     move: np.ndarray  #: states x states
@@ -131,16 +148,16 @@ def _order(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def forward(model: Model, symbols: np.ndarray, bounds: np.ndarray, keep: bool = False):
     """The log10 likelihood of each text; with keep also, step by step, emissions, scaled forward rows and scales, and the order."""
     place, live = _order(bounds)
-    emit, scale, one = model.emit[symbols[place]], np.ones(len(symbols)), np.ones(len(model.start))
-    rows = emit.copy() if keep else emit
+    emit, kind = model.emit[symbols[place]], model.emit.dtype
+    scale, one = np.ones(len(symbols), kind), np.ones(len(model.start), kind)
+    rows = np.empty_like(emit) if keep else emit
     a, z = None, 0
     for t, n in enumerate(live.tolist()):
         now, z = slice(z, z + n), z + n
         a = (model.start if t == 0 else a[:n] @ model.move) * emit[now]
         s = a @ one
-        a /= s[:, None]
         scale[now] = s
-        rows[now] = a
+        a = np.divide(a, s[:, None], out=rows[now])
     log = np.zeros(len(symbols) + 1)
     log[1 + place] = np.log10(scale)
     log = np.cumsum(log)
@@ -171,8 +188,8 @@ def expect(model: Model, symbols: np.ndarray, bounds: np.ndarray, into: np.ndarr
     into[:k] += post[:texts].sum(0)
     width, symbols = len(model.emit), symbols[place]
     base = k + k * k
-    for j in range(k):
-        into[base + j : base + width * k : k] += np.bincount(symbols, post[:, j], width)
+    for j, column in enumerate(np.ascontiguousarray(post.T)):
+        into[base + j : base + width * k : k] += np.bincount(symbols, column, width)
     into[-1] += score.sum()
 
 
@@ -195,19 +212,62 @@ def initial(shares: np.ndarray, states: int = STATES) -> Model:
     return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
+def alike(symbols: list[np.ndarray], lengths: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and lengths of some `GROUP` tokens at a time, the longest texts first, as a group takes as many steps as its longest."""
+    symbols, lengths = np.concatenate(symbols), np.concatenate(lengths)
+    first = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    first, lengths = first[order], lengths[order]
+    group = (np.cumsum(lengths) - lengths) // GROUP
+    for at in np.split(np.arange(len(order)), np.flatnonzero(np.diff(group)) + 1):
+        n = lengths[at]
+        yield symbols[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
+def coded(texts: DataFrame, symbol_words: np.ndarray) -> DataFrame:
+    """(symbols, lengths): all texts as symbols, and the number of tokens of each, many texts of like length a row."""
+    sent = texts.sparkSession.sparkContext.broadcast(symbol_words)
+
+    def rows(symbols: list[np.ndarray], lengths: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for s, n in alike(symbols, lengths):
+            yield pa.record_batch([pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (s, n)], names=["symbols", "lengths"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        index = _index(known)
+        symbols: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        for b in batches:
+            for _, _, t in _groups(b):
+                symbols.append(_symbols(index, t.hashes, len(known)).astype(np.int32))
+                lengths.append(np.diff(t.bounds))
+                if sum(map(len, symbols)) > HELD:
+                    yield from rows(symbols, lengths)
+                    symbols, lengths = [], []
+        if symbols:
+            yield from rows(symbols, lengths)
+
+    return texts.select("text").mapInArrow(run, "symbols binary, lengths binary")
+
+
 def train(texts: DataFrame, symbol_words: np.ndarray, shares: np.ndarray, states: int = STATES, passes: int = PASSES, gain: float = GAIN) -> Model:
-    """Passes over all texts on the executors, from symbol shares tilted by hashes on, until they gain little."""
+    """Passes over all texts on the executors, from symbol shares tilted by hashes on, until they gain little.
+
+    Words are looked up once: what passes read are the texts as symbols.
+    """
+    work = Workspace(texts.sparkSession, "hmm-train")
+    groups = work.keep(coded(texts, symbol_words), "coded")
     model, before = initial(shares, states), -np.inf
     for _ in range(passes):
-        sent = texts.sparkSession.sparkContext.broadcast((model, symbol_words))
+        sent = texts.sparkSession.sparkContext.broadcast(model)
 
         def count(b: pa.RecordBatch, into: np.ndarray, sent=sent) -> None:
-            model, known = sent.value
-            index = _index(known)
-            for _, _, t in _groups(b):
-                expect(model, _symbols(index, t.hashes, len(known)), t.bounds, into)
+            one_thread()
+            for symbols, lengths in zip(b.column("symbols"), b.column("lengths"), strict=True):
+                bounds = np.concatenate(([0], np.cumsum(np.frombuffer(lengths.as_buffer(), "<i4"), dtype=np.int64)))
+                expect(sent.value, np.frombuffer(symbols.as_buffer(), "<i4"), bounds, into)
 
-        counts = summed(texts, ["text"], count, model.size)
+        counts = summed(groups, ["symbols", "lengths"], count, model.size)
         sent.unpersist()
         model = improved(model, counts)
         # each token is emitted once
@@ -216,6 +276,7 @@ def train(texts: DataFrame, symbol_words: np.ndarray, shares: np.ndarray, states
         if now - before <= gain * n:
             break
         before = now
+    work.close()
     return model
 
 
@@ -261,6 +322,7 @@ def score_documents(documents: DataFrame, states: int = STATES, symbols: int = S
     floor, log_other = float(np.log10(n + 0.5 * (v + 1))), float(np.log10(other))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         model, known, count, width = sent.value
         index = _index(known)
         worth = np.append(np.log10(count + 0.5), 0.0)

@@ -246,3 +246,20 @@ def test_any_of_is_an_alternation():
     words = ["a", "ab", "abc", "b.c", "b-c", "mpl", "mpl-2.0"]
     assert all(re.fullmatch(licences.any_of(words), w) for w in words)
     assert not any(re.fullmatch(licences.any_of(words), w) for w in ("", "ac", "bxc", "mpl-", "mpl-2x0"))
+
+
+def test_training_reads_symbols_of_texts_of_like_length(documents, monkeypatch):
+    monkeypatch.setattr(hmm, "GROUP", 300)
+    rows = [(i, "a b c " * (40 if i % 10 == 3 else 1)) for i in range(200)]
+    texts = documents(rows)
+    (r,) = hmm.coded(texts.coalesce(1), np.array([hmm.END], np.uint64)).collect()
+    symbols, lengths = (np.frombuffer(x, "<i4") for x in r)
+    assert sorted(lengths.tolist()) == sorted(3 * (40 if i % 10 == 3 else 1) + 1 for i, _ in rows)
+    rng = np.random.default_rng(2)
+    mixed = rng.permutation(lengths)
+    groups = list(hmm.alike([np.where(np.isin(np.arange(mixed.sum()), np.cumsum(mixed) - 1), 0, 1)], [mixed]))
+    assert sorted(np.concatenate([n for _, n in groups]).tolist()) == sorted(lengths.tolist())
+    assert sum(int(n[0]) for _, n in groups) < 0.8 * 121 * len(groups)
+    for s, n in [(symbols, lengths), *groups]:
+        ends = np.cumsum(n)
+        assert len(s) == ends[-1] and (s[ends - 1] == 0).all() and (s == 0).sum() == len(n)
