@@ -2,8 +2,10 @@
 
 Routing. Sets are sorted into size classes; the sets that a pair needs to lie in one or two neighbouring classes. In a class
 whose largest size is u, two sets of the wanted similarity differ in at most k elements, so of more than k parts of the
-universe of hashes one at least has the same elements in both. The hash of a part's elements is a signature: each set has
-about 0.3 signatures an element, and every pair that can link shares one. No set and no frequency is gathered for this.
+universe of hashes some have the same elements in both. The hash of a part's elements is a signature. A set tells k + 1 of them,
+the first in an order of all signatures by which those of most elements come first: of two sets with no more than k unlike parts,
+the first k + 1 hold a common one, and what is rare in a corpus comes before single common shingles. Each set has about 0.3
+signatures an element, and every pair that can link shares one. No set and no frequency is gathered for this.
 
 Trees. Sets of a size class that are related by shared signatures meet in one job, each once. Families beyond a bound are dealt into
 jobs of bounded size, each around one set of a signature. A job's sets, ordered by size, are the leaves of a signature tree, whose
@@ -70,7 +72,7 @@ class Scheme(NamedTuple):
     low: int  #: of the sizes in the class
     high: int
     parts: int
-    spare: int  #: a set with as many empty parts as this, or more, has signatures for them too
+    spare: int  #: parts that are alike, empty ones included, in two sets that link
 
 
 def schemes(like: Likeness, most: int) -> list[Scheme]:
@@ -120,12 +122,12 @@ def signatures(s: Sets, like: Likeness, classes: list[Scheme]) -> tuple[np.ndarr
             half = [np.bincount(cell, ((s.values[at] * m) >> U(38)).astype(np.float64), cells).astype(U) for m in (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))]
             count = np.bincount(cell, minlength=cells)
             sig = mix(half[0] ^ (half[1] << U(30)) ^ mix(np.tile(np.arange(parts, dtype=U), len(rows)) + key(14, int(scheme))))
-            sig = (sig & ~U(63)) | U(min(63, scheme))  # the class can be read off a signature
-            empty = count == 0
-            row = np.repeat(np.arange(len(rows)), parts)
-            told = ~empty | (np.bincount(row[empty], minlength=len(rows)) >= spare)[row]
-            out_sig.append(sig[told])
-            out_row.append(rows[row[told]])
+            # in the order of all signatures, those of most elements first
+            order = (U(63) - np.minimum(count, 63).astype(U)) << U(58) | sig >> U(6)
+            most = parts - spare + 1
+            order = np.partition(order.reshape(-1, parts), most - 1, axis=1)[:, :most]
+            out_sig.append((order << U(6) | U(min(63, scheme))).ravel())  # the class can be read off a signature
+            out_row.append(np.repeat(rows, most))
     return np.concatenate(out_sig), np.concatenate(out_row)
 
 
@@ -450,8 +452,14 @@ def connect(shared: DataFrame, sets_of: Callable[[Bloom, bool], DataFrame], like
         sets = sets_of(Bloom.of(ids, ids.count()), False).dropDuplicates(["id"])
         return work.keep(_met(jobs, sets, like, LINKS), name)
 
+    def once(near: DataFrame) -> DataFrame:
+        """Groups of the same sets, from several jobs, meet once."""
+        groups = near.groupBy("job").agg(F.bit_xor(F.xxhash64("id")).alias("sets"), F.count("*").alias("n"))
+        return near.join(groups.groupBy("sets", "n").agg(F.min("job").alias("job")).select("job"), "job", "left_semi")
+
     first = work.keep(jobs.withColumn("label", F.col("id")), "jobs")
-    links = whole(work.keep(_met(first, maps, like, GROUPS), "near"), "links")
+    near = work.keep(_met(first, maps, like, GROUPS), "near")
+    links = whole(work.keep(once(near), "whole") if spread else near, "links")
     found = components(links, work)
     if not spread:
         return found
@@ -465,10 +473,7 @@ def connect(shared: DataFrame, sets_of: Callable[[Bloom, bool], DataFrame], like
         return found
     rows = work.keep(tied.join(apart, "sig").select("job", "id", "label", "weight"), "open")
     near = work.keep(_met(work.keep(_across(rows, work, "blocks"), "jobs-again"), maps, like, ACROSS), "near-again")
-    # groups of the same sets, from several jobs, meet once
-    groups = near.groupBy("job").agg(F.bit_xor(F.xxhash64("id")).alias("sets"), F.count("*").alias("n"))
-    once = groups.groupBy("sets", "n").agg(F.min("job").alias("job")).select("job")
-    more = whole(work.keep(near.join(once, "job", "left_semi"), "whole-again"), "more")
+    more = whole(work.keep(once(near), "whole-again"), "more")
     return components(links.unionAll(more), work, "edges-again")
 
 

@@ -20,13 +20,14 @@ from .stats import Bloom
 _ID, _SHA, _COPIES, _SOURCE, _SIZE, _NTH = (f"cantiga {x}" for x in ("doc_id", "sha", "copies", "source", "size", "nth"))
 
 
-def _halves(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose doc_id surely is not among `ids`, and all others. Only the others need be shuffled."""
+def _halves(docs: DataFrame, ids: DataFrame, nulls: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows whose doc_id surely is not among `ids`, and all others, with nulls also those without one. Only the others need be shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(Bloom.of(ids, ids.count()))
 
     def among(b) -> np.ndarray:
         column = b.column("doc_id").cast("int64")
-        return sent.value.holds(column.fill_null(0).to_numpy().view(U)) & column.is_valid().to_numpy(zero_copy_only=False)
+        valid = column.is_valid().to_numpy(zero_copy_only=False)
+        return sent.value.holds(column.fill_null(0).to_numpy().view(U)) & valid | (~valid & nulls)
 
     return filtered(docs, lambda b: ~among(b)), filtered(docs, among)
 
@@ -65,7 +66,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = {"doc_id": _ID, "source": _SOURCE, "size": _SIZE}
     mixed = work.keep(mix_sources(word_counts(docs)).select(*(F.col(a).alias(b) for a, b in keys.items()), F.col("copies").alias(_COPIES)), "mixed")
     several = work.keep(mixed.groupBy(_ID, _SOURCE).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "several")
-    rows = docs.withColumns({_ID: F.col("doc_id").cast("long"), _SOURCE: F.col("source")})
+    # rows that are taken as often as most of their source need not meet their number by key
+    often = mixed.groupBy(_SOURCE, _COPIES).agg(F.count("*").alias("n")).groupBy(_SOURCE).agg(F.max(F.struct("n", _COPIES))[_COPIES].alias(_COPIES))
+    usual = work.keep(often, "usual")
+    other = mixed.join(usual.withColumnsRenamed({_SOURCE: "of", _COPIES: "usual"}), F.col(_SOURCE).eqNullSafe(F.col("of"))).where(F.col(_COPIES) != F.col("usual"))
+    other = work.keep(other.select(_ID).unionAll(several.select(_ID)).where(F.col(_ID).isNotNull()).distinct(), "other")
+    plain, rows = (half.withColumns({_ID: F.col("doc_id").cast("long"), _SOURCE: F.col("source")}) for half in _halves(docs, other.withColumnRenamed(_ID, "doc_id"), nulls=True))
 
     def same(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
         a, b = a.alias("a"), b.alias("b")
@@ -81,6 +87,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         few = few.withColumn(_NTH, F.row_number().over(alike.orderBy(F.xxhash64("text"))))
         taken = same(mixed, several, [_ID, _SOURCE], "left_semi").withColumn(_NTH, F.row_number().over(alike.orderBy(F.desc(_COPIES))))
         out = out.unionByName(same(few, taken, [_ID, _SOURCE, _SIZE, _NTH], "inner").drop(_SIZE, _NTH))
+    out = out.unionByName(same(plain, usual.where(F.col(_COPIES) > 0), [_SOURCE], "inner"))
     return out.where(F.col(_COPIES) > 0).withColumn(_COPIES, F.explode(F.sequence(F.lit(1), F.col(_COPIES)))).select(*docs.columns)
 
 

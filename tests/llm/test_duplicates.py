@@ -294,3 +294,21 @@ def test_signatures_of_a_batch_are_packed_in_bounded_parts(monkeypatch):
     batch = pa.record_batch([pa.array(texts)], names=["text"])
     sizes = [sum(map(len, b.column("rows").to_pylist())) // 16 for b in run(iter([batch]))]
     assert len(sizes) > 3 and max(sizes) < sum(sizes) / 3
+
+
+@pytest.mark.parametrize("part", [80, 85])
+def test_each_set_tells_its_richest_parts_and_linked_sets_share_one(part):
+    rng, like = np.random.default_rng(part), Likeness(part, 100)
+    classes = schemes(like, 2000)
+    for n in (3, 7, 20, 100, 333):
+        for _ in range(40):
+            a = rng.integers(0, 1 << 48, n).astype(U)
+            b = np.concatenate((a[int(rng.integers(0, max(1, n // 8))) :], rng.integers(0, 1 << 48, int(rng.integers(0, max(1, n // 9)))).astype(U)))
+            both = len(np.intersect1d(a, b))
+            s = jaccard.Sets(np.concatenate((np.sort(a), np.sort(b))), np.array([0, len(a), len(a) + len(b)]))
+            sig, row = jaccard.signatures(s, like, classes)
+            for k in (0, 1):
+                told = np.unique(sig[row == k] & U(63))
+                assert (row == k).sum() == sum(classes[int(c)].parts - classes[int(c)].spare + 1 for c in told)
+            if 100 * both >= part * (len(a) + len(b) - both) and len(a) != both:
+                assert len(np.intersect1d(sig[row == 0], sig[row == 1]))

@@ -186,3 +186,23 @@ def test_the_mix_takes_every_row_as_often_as_it_says(spark, tmp_path):
         at = (r.doc_id, r.source, len(split(r.text or "")))
         got[at] = got.get(at, 0) + 1
     assert got == {k: n for k, n in wanted.items() if n}
+
+
+def test_rows_taken_as_often_as_most_of_their_source_are_not_joined_by_id(spark, tmp_path, monkeypatch):
+    seen, halves = [], stages._halves
+
+    def spied(*args, **kwargs):
+        plain, near = halves(*args, **kwargs)
+        seen.append((plain.count(), near.count()))
+        return plain, near
+
+    monkeypatch.setattr(stages, "_halves", spied)
+    docs = spark.createDataFrame([(i, f"t{i} " * 5, "s" if i % 8 else "t") for i in range(800)] + [(None, "x", "s")], "doc_id long, text string, source string")
+    mixed = stages.mix(spark, docs, str(tmp_path)).collect()
+    (plain, near) = seen[0]
+    assert plain + near == 801 and near < 500
+    sized = {r.doc_id: r.copies for r in mixing.mix_sources(mixing.word_counts(docs)).collect()}
+    got = dict.fromkeys(sized, 0)
+    for r in mixed:
+        got[r.doc_id] += 1
+    assert got == sized
