@@ -2,10 +2,11 @@
 
 Routing. Sets are sorted into size classes; the sets that a pair needs to lie in one or two neighbouring classes. In a class
 whose largest size is u, two sets of the wanted similarity differ in at most k elements, so of more than k parts of the
-universe of hashes some have the same elements in both. The hash of a part's elements is a signature. A set tells k + 1 of them,
-the first in an order of all signatures by which those of most elements come first: of two sets with no more than k unlike parts,
-the first k + 1 hold a common one, and what is rare in a corpus comes before single common shingles. Each set has about 0.3
-signatures an element, and every pair that can link shares one. No set and no frequency is gathered for this.
+universe of hashes some have the same elements in both. The hash of a part's elements is a signature. A set tells the first of
+them in an order of all signatures by which those of most elements come first: one more than parts can differ between it and the
+largest partner of its own size. Of two sets that can link, both tell more than parts differ, so the first signature that both have is
+told by both; and what is rare in a corpus comes before single common shingles, which hardly any set has to tell. Each set has
+about 0.4 signatures an element. No set and no frequency is gathered for this.
 
 Trees. Sets of a size class that are related by shared signatures meet in one job, each once. Families beyond a bound are dealt into
 jobs of bounded size, each around one set of a signature. A job's sets, ordered by size, are the leaves of a signature tree, whose
@@ -63,7 +64,11 @@ class Likeness(NamedTuple):
         """The least overlap of two sets whose sizes add up to `sizes`."""
         return -(-self.part * sizes // (self.part + self.whole))
 
-    def partner(self, n: int) -> int:
+    def unlike(self, sizes: np.ndarray | int) -> np.ndarray | int:
+        """The most elements that are in one alone of two linked sets whose sizes add up to `sizes`."""
+        return sizes * (self.whole - self.part) // (self.whole + self.part)
+
+    def partner(self, n: np.ndarray | int) -> np.ndarray | int:
         """The largest size that can link with size n."""
         return n * self.whole // self.part
 
@@ -80,7 +85,7 @@ def schemes(like: Likeness, most: int) -> list[Scheme]:
     out, low = [], 1
     while low <= most:
         high = max(low, int(low * CLASS))
-        differ = 2 * high * (like.whole - like.part) // (like.whole + like.part)
+        differ = like.unlike(2 * high)
         if not differ:
             out.append(Scheme(low, high, 0, 0))
         else:
@@ -99,8 +104,9 @@ def identities(s: Sets) -> tuple[np.ndarray, np.ndarray]:
     return tuple(mix(total(mix(s.values ^ c), s.bounds) + n) for c in (_A, _B))
 
 
-def signatures(s: Sets, like: Likeness, classes: list[Scheme]) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of all sets, and the set of each."""
+def signatures(s: Sets, like: Likeness, classes: list[Scheme], own_bound: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures that all sets tell, and the set of each. own_bound: one more than parts can differ between the set and its
+    largest partner in the class; else, one more than between any two of the class."""
     n = np.diff(s.bounds)
     lows = np.array([c.low for c in classes])
     own = np.searchsorted(lows, n, "right") - 1
@@ -110,7 +116,7 @@ def signatures(s: Sets, like: Likeness, classes: list[Scheme]) -> tuple[np.ndarr
         for scheme, up in ((c, 0), (c + 1, 1)):
             if scheme >= len(classes) or not classes[scheme].parts:
                 continue
-            low, _, parts, spare = classes[scheme]
+            low, high, parts, spare = classes[scheme]
             rows = np.flatnonzero((own == c) & (n > 0) & (n * like.whole // like.part >= low if up else True))
             if not len(rows):
                 continue
@@ -124,10 +130,10 @@ def signatures(s: Sets, like: Likeness, classes: list[Scheme]) -> tuple[np.ndarr
             sig = mix(half[0] ^ (half[1] << U(30)) ^ mix(np.tile(np.arange(parts, dtype=U), len(rows)) + key(14, int(scheme))))
             # in the order of all signatures, those of most elements first
             order = (U(63) - np.minimum(count, 63).astype(U)) << U(58) | sig >> U(6)
-            most = parts - spare + 1
-            order = np.partition(order.reshape(-1, parts), most - 1, axis=1)[:, :most]
-            out_sig.append((order << U(6) | U(min(63, scheme))).ravel())  # the class can be read off a signature
-            out_row.append(np.repeat(rows, most))
+            order = np.sort(order.reshape(-1, parts), axis=1)
+            tell = like.unlike(size + np.minimum(high, like.partner(size))) + 1 if own_bound else np.full(len(rows), parts - spare + 1)
+            out_sig.append(order[np.arange(parts) < tell[:, None]] << U(6) | U(min(63, scheme)))  # the class can be read off a signature
+            out_row.append(np.repeat(rows, tell))
     return np.concatenate(out_sig), np.concatenate(out_row)
 
 
@@ -169,7 +175,7 @@ def _routed(documents: DataFrame, words: int, like: Likeness, classes: list[Sche
                     fresh[k] = x not in seen
                     seen.add(x)
                 s = Sets(s.values[np.repeat(fresh, np.diff(s.bounds))], np.concatenate(([0], np.cumsum(np.diff(s.bounds) * fresh))))
-                sig, row = signatures(s, like, classes)
+                sig, row = signatures(s, like, classes, own_bound=True)
                 pairs.append(np.stack((sig, ident[row]), 1))
                 if sum(map(len, pairs)) > PAIRS:
                     yield packed_stars(np.concatenate(pairs), buckets)

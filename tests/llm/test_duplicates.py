@@ -312,3 +312,42 @@ def test_each_set_tells_its_richest_parts_and_linked_sets_share_one(part):
                 assert (row == k).sum() == sum(classes[int(c)].parts - classes[int(c)].spare + 1 for c in told)
             if 100 * both >= part * (len(a) + len(b) - both) and len(a) != both:
                 assert len(np.intersect1d(sig[row == 0], sig[row == 1]))
+
+
+@pytest.mark.parametrize("part", [80, 85])
+def test_sets_at_the_very_bound_share_a_signature_by_the_bounds_of_their_own_sizes(part):
+    rng, like = np.random.default_rng(part), Likeness(part, 100)
+    classes = schemes(like, 2000)
+    for n in (5, 9, 16, 34, 60, 95, 134, 190, 266, 400, 733):
+        for m in np.unique(np.linspace(n, like.partner(n), 5).astype(int)).tolist():
+            both = like.needed(n + m)
+            if both == n == m:
+                continue
+            for _ in range(30):
+                x = np.unique(rng.integers(0, 1 << 48, 2 * (n + m)).astype(U))
+                rng.shuffle(x)
+                a, b = np.sort(x[:n]), np.sort(np.concatenate((x[:both], x[n : n + m - both])))
+                assert 100 * both >= part * (n + m - both) and len(b) == m
+                sig, row = jaccard.signatures(jaccard.Sets(np.concatenate((a, b)), np.array([0, n, n + m])), like, classes, own_bound=True)
+                assert len(np.intersect1d(sig[row == 0], sig[row == 1])), (n, m)
+                every, of = jaccard.signatures(jaccard.Sets(np.concatenate((a, b)), np.array([0, n, n + m])), like, classes)
+                assert all(np.isin(sig[row == k], every[of == k]).all() for k in (0, 1))
+
+
+def test_single_common_shingles_hardly_chain_sets():
+    class Documents:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randint(0, 10**9)}"
+    phrases = [" ".join(word() for _ in range(20)) for _ in range(301)]
+    # each text has 16 of its 160 shingles in common with the one before, and 16 with the next
+    texts = [" ".join([*(word() for _ in range(40)), a, *(word() for _ in range(44)), b, *(word() for _ in range(40))]) for a, b in zip(phrases, phrases[1:], strict=False)]
+    like = Likeness(80, 100)
+    found = list(jaccard._routed(Documents(), 5, like, schemes(like, 1000), np.zeros(0, U), 1)(iter([pa.record_batch([pa.array(texts)], names=["text"])])))
+    tied = {tuple(x[1:].tolist()) for b in found for raw in b.column("local").to_pylist() for x in np.frombuffer(raw, U).reshape(-1, 3)}
+    assert len(tied) < 20  # of 300
