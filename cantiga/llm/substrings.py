@@ -16,7 +16,7 @@ its places are spread when they meet their key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -37,8 +37,8 @@ LONG, REACH = 100, 5
 #: together with what stands beside it.
 LEAST_WORDS = 48
 RECALL = 0.99
-#: Words of text for each bucket of passages.
-BUCKET_WORDS = 4_000_000
+#: Words of text for each partition of passages, and places of repeated paragraphs and windows that are put together at once, about.
+BUCKET_WORDS, UNITS = 4_000_000, 1 << 16
 #: Stands for a missing id: rows without one are one document that comes after all others.
 NO_ID = (1 << 63) - 1
 _ODD = U(1)
@@ -267,7 +267,7 @@ def _places_of(texts: DataFrame, wanted: Bloom, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
         for b in batches:
-            docs, found = b.column("doc_id").to_numpy(), [np.zeros((0, 5), U)]
+            docs, found = b.column("doc_id").to_numpy(), []
             for p in _windows(b, k):
                 first, bounds = paragraphs(p.offsets, p.data, p.words)
                 number = _numbers(_paragraph_sets(p.words, first))
@@ -280,13 +280,21 @@ def _places_of(texts: DataFrame, wanted: Bloom, k: int) -> DataFrame:
                 start = code[p.offsets[row]]
                 begin, end = code[p.words.starts[at]] - start, code[p.words.ends[at + size - 1]] - start
                 pair = [(x.astype(U) << U(32)) | y.astype(U) for x, y in ((begin, end), (at - p.words.bounds[row], size))]
-                found.append(np.stack((keys, docs[p.low + row].view(U), (base + p.low + row).astype(U), *pair), 1))
+                found.append(np.stack((keys, docs[p.low + row].view(U), (base + p.low + row).astype(U), *pair)))
+                if sum(f.shape[1] for f in found) > UNITS:
+                    yield _placed(found)
+                    found = []
             base += b.num_rows
-            yield pa.record_batch([long_array(c) for c in np.concatenate(found).T], names=["key", "doc_id", "row", "span", "place"])
+            if found:
+                yield _placed(found)
 
     return texts.mapInArrow(run, "key long, doc_id long, row long, span long, place long")
 
 
+def _placed(found: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([long_array(c) for c in np.concatenate(found, 1)], names=["key", "doc_id", "row", "span", "place"])
+
+
 def _unions(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The first span of each union of spans that overlap or touch. Spans are in order of `begin`."""
     return np.flatnonzero(np.append(True, begin[1:] > np.maximum.accumulate(end)[:-1])[: len(begin)])
@@ -356,6 +364,29 @@ def _passages(least_words: int):
 _NAMES = ["doc_id", "start", "stop", "n_words", "first_doc_id", "n_docs", "removed"]
 
 
+def _by_text(passages: Callable[[pa.Table], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Units come in order of row. Whole texts of some `UNITS` units are held at a time; a text of more stands alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, UNITS
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n < most:
+                continue
+            units = pa.Table.from_batches(held)
+            row = units.column("row").to_numpy()
+            cut = int(np.searchsorted(row, row[-1]))
+            if cut:
+                yield from passages(units.slice(0, cut)).to_batches()
+            held, n = units.slice(cut).to_batches(), n - cut
+            most = max(UNITS, 2 * n)
+        if n:
+            yield from passages(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
 def repeated_passages(documents: DataFrame, like: Likeness = Likeness(), least_words: int = LEAST_WORDS, recall: float = RECALL) -> DataFrame:
     """One row per repeated passage of a document: (doc_id, start, stop, n_words, first_doc_id, n_docs, removed).
 
@@ -393,8 +424,10 @@ def repeated_passages(documents: DataFrame, like: Likeness = Likeness(), least_w
     near = near.select("key", "cluster").join(work.keep(clusters, "clusters"), "cluster").drop("cluster")
     units = work.keep(near.unionByName(exact.select("key", F.col("low").alias("first_doc_id"), F.col("n").alias("n_docs"))), "units")
     places = _places_of(texts, Bloom.of(units.select("key"), units.count()), k).join(units, "key").drop("key")
-    places = places.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
-    return places.groupBy("bucket").applyInArrow(_passages(least_words), "doc_id long, start long, stop long, n_words long, first_doc_id long, n_docs long, removed boolean")
+    # copies have a place for nearly every word, so partitions are read in order and no more than some texts are held
+    places = places.repartition(buckets, "row").sortWithinPartitions("row")
+    return places.mapInArrow(_by_text(_passages(least_words)), "doc_id long, start long, stop long, n_words long, first_doc_id long, n_docs long, removed boolean")
+
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

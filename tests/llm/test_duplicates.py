@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cantiga.llm import fuse, jaccard
+from cantiga.llm import fuse, jaccard, substrings
 from cantiga.llm.columns import U, mix
 from cantiga.llm.exact import find_copies
 from cantiga.llm.jaccard import Likeness, Tree, schemes, similar_documents
@@ -259,6 +259,51 @@ def test_rows_without_id_are_one_document_that_comes_last(documents):
     assert sorted(((r.doc_id, r.n_words, r.first_doc_id, r.removed) for r in got), key=str) == sorted([(None, 60, 5, True), (5, 60, 5, False), (7, 60, 7, False), (7, 60, 7, False), (8, 60, 7, True)], key=str)
 
 
+def test_passages_of_a_partition_hold_some_whole_texts_at_a_time(monkeypatch):
+    monkeypatch.setattr(substrings, "UNITS", 500)
+    rng = np.random.default_rng(18)
+    sizes = [*rng.integers(1, 90, 100).tolist(), 3000, *rng.integers(1, 90, 100).tolist()]
+    row = np.repeat(np.arange(len(sizes)) << 33, sizes)
+    first = np.concatenate([np.arange(n) for n in sizes])
+    begin = first * 3
+    columns = [row >> 33, row, begin << 32 | (begin + 20), first << 32 | 25, np.where(row >> 34 & 1, row >> 33, 0), np.full(len(row), 2)]
+    units = pa.table([pa.array(c) for c in columns], names=["doc_id", "row", "span", "place", "first_doc_id", "n_docs"])
+    held = []
+
+    def passages(t):
+        held.append(t)
+        return substrings._passages(48)(t)
+
+    got = pa.Table.from_batches(substrings._by_text(passages)(iter(units.to_batches(max_chunksize=70))))
+    order = lambda t: sorted(t.to_pylist(), key=lambda r: (r["doc_id"], r["start"]))
+    assert got.num_rows > 50 and order(got) == order(substrings._passages(48)(units))
+    assert sum(t.num_rows for t in held) == len(row) and sorted(t.num_rows for t in held)[-2] < 1000
+    texts = [set(t.column("row").to_pylist()) for t in held]
+    assert sum(map(len, texts)) == len(sizes) and len(texts) > 10
+
+
+def test_places_of_a_batch_are_sent_in_parts(spark, documents, monkeypatch):
+    monkeypatch.setattr(substrings, "UNITS", 400)
+    monkeypatch.setattr(substrings, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("", (), {"partitionId": lambda _: 0})())}))
+    rng = random.Random(19)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(4000)) for _ in range(20)]
+    every = substrings.Bloom(16)
+    every.map[:] = 255
+
+    class Texts:
+        sparkSession = spark  # noqa: N815
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    batch = pa.record_batch([pa.array(range(20), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(substrings._places_of(Texts(), every, 25)(iter([batch])))
+    assert len(parts) > 5
+    # every window and every paragraph has its place
+    windows = [(r["doc_id"], r["place"] >> 32) for p in parts for r in p.to_pylist() if r["key"] & 1]
+    assert sorted(windows) == [(d, k) for d in range(20) for k in range(4000 - 24)]
+
+
 def test_sets_that_bitmaps_do_not_tell_apart_are_one_row_each():
     rng, like = np.random.default_rng(5), jaccard.Likeness(80, 100)
     values = [np.sort(rng.choice(75, 70, replace=False)).astype(U) for _ in range(90)] + [rng.integers(0, 1 << 40, 75).astype(U) for _ in range(30)]
