@@ -35,7 +35,9 @@ END = key(41)
 #: Tokens that are run side by side; a longer text stands alone.
 TOKENS = 1 << 19
 #: Tokens of training texts that are put in order of length together, and those of a group that is run side by side.
-HELD, GROUP = 1 << 23, 1 << 18
+HELD, GROUP = 1 << 23, 1 << 19
+#: Tokens of a block of steps, and the steps after which rows are scaled: in 8 of them doubles lose nothing, whatever a step takes away.
+STEPS, RESCALE = 1 << 12, 8
 
 
 def training(doc_id: str = "doc_id") -> Column:
@@ -145,52 +147,115 @@ def _order(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bounds[:-1][order[np.arange(len(step)) - start[step]]] + step, live
 
 
-def forward(model: Model, symbols: np.ndarray, bounds: np.ndarray, keep: bool = False):
-    """The log10 likelihood of each text; with keep also, step by step, emissions, scaled forward rows and scales, and the order."""
+def forward(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The log10 likelihood of each text."""
     place, live = _order(bounds)
     emit, kind = model.emit[symbols[place]], model.emit.dtype
     scale, one = np.ones(len(symbols), kind), np.ones(len(model.start), kind)
-    rows = np.empty_like(emit) if keep else emit
     a, z = None, 0
     for t, n in enumerate(live.tolist()):
         now, z = slice(z, z + n), z + n
         a = (model.start if t == 0 else a[:n] @ model.move) * emit[now]
         s = a @ one
         scale[now] = s
-        a = np.divide(a, s[:, None], out=rows[now])
+        a = np.divide(a, s[:, None], out=emit[now])
     log = np.zeros(len(symbols) + 1)
     log[1 + place] = np.log10(scale)
     log = np.cumsum(log)
-    score = log[bounds[1:]] - log[bounds[:-1]]
-    return (score, emit, rows, scale, place, live) if keep else score
+    return log[bounds[1:]] - log[bounds[:-1]]
+
+
+_buffers: dict[str, np.ndarray] = {}
+
+
+def _buffer(name: str, *shape: int) -> np.ndarray:
+    """Memory that a worker keeps, as fresh pages cost more than what is done with them."""
+    size = int(np.prod(shape))
+    if name not in _buffers or len(_buffers[name]) < size:
+        _buffers[name] = np.empty(size)
+    return _buffers[name][:size].reshape(shape)
 
 
 def expect(model: Model, symbols: np.ndarray, bounds: np.ndarray, into: np.ndarray) -> None:
-    """Adds the expected counts of starts, moves and emissions, and the log10 likelihood, to a vector."""
-    score, ahead, gamma, scale, place, live = forward(model, symbols, bounds, keep=True)
-    k, texts = len(model.start), len(bounds) - 1
-    if not len(symbols):
+    """Adds the expected counts of starts, moves and emissions, and the log10 likelihood, to a vector.
+
+    Steps go in blocks that stay in a core's cache; of all tokens only forward rows and posteriors are held. Rows are scaled every
+    `RESCALE` steps: each token's posterior is scaled by its own sum, so no other scale is needed.
+    """
+    total, k, width = len(symbols), len(model.start), len(model.emit)
+    if not total:
         return
-    ahead /= scale[:, None]  # emission times backward row over scale, of the token after
-    back, z, more = np.ascontiguousarray(model.move.T), len(symbols), 0
-    for n in live[::-1].tolist():
-        if more:
-            ahead[z - n : z - n + more] *= ahead[z : z + more] @ back
-        z, more = z - n, n
-    # tokens but the first, and those before them
-    before = np.arange(texts, len(symbols)) - np.repeat(live[:-1], live[1:])
-    gamma = gamma[before]
-    into[k : k + k * k] += (model.move * (gamma.T @ ahead[texts:])).ravel()
-    # a token's posterior is its predicted row times what is ahead of it
-    post = ahead
-    post[:texts] *= model.start
-    post[texts:] *= gamma @ model.move
-    into[:k] += post[:texts].sum(0)
-    width, symbols = len(model.emit), symbols[place]
-    base = k + k * k
-    for j, column in enumerate(np.ascontiguousarray(post.T)):
-        into[base + j : base + width * k : k] += np.bincount(symbols, column, width)
-    into[-1] += score.sum()
+    place, live = _order(bounds)
+    symbols = symbols[place].astype(np.intp)
+    one, square, back = np.ones(k), np.ones((k, k)), np.ascontiguousarray(model.move.T)
+    # emissions as shares of a symbol, so what a step takes away is small
+    top = model.emit @ one
+    top[top == 0] = 1
+    emit = model.emit / top[:, None]
+    first = np.concatenate(([0], np.cumsum(live)))
+    before = np.arange(total) - np.repeat(np.append(0, live[:-1]), live)
+    cuts = [0]
+    while cuts[-1] < len(live):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(first, first[cuts[-1]] + STEPS, "right")) - 1))
+    blocks = list(zip(cuts[:-1], cuts[1:], first[cuts[:-1]].tolist(), first[cuts[1:]].tolist(), strict=True))
+    most = max(hi - lo for *_, lo, hi in blocks)
+    rows, post = _buffer("rows", total, k), _buffer("post", k, total)
+    ahead_of, gamma_of, part_of = (_buffer(x, most, k) for x in ("ahead", "gamma", "part"))
+    live, log, a = live.tolist(), 0.0, None
+    for begin, end, lo, hi in blocks:
+        ahead, z = ahead_of[: hi - lo], lo
+        emit.take(symbols[lo:hi], 0, ahead, "clip")
+        for t in range(begin, end):
+            n = live[t]
+            now = rows[z : z + n]
+            if t:
+                np.dot(a[:n], model.move, now)
+                np.multiply(now, ahead[z - lo : z - lo + n], now)
+            else:
+                np.multiply(model.start, ahead[:n], now)
+            if t % RESCALE == 0:
+                s = np.dot(now, one)
+                log += np.log10(s).sum()
+                now /= s[:, None]
+            a, z = now, z + n
+    ended = np.array(live) - np.append(live[1:], 0)
+    last = np.repeat(first[1:] - np.cumsum(ended), ended) + np.arange(live[0])
+    log += np.log10(rows[last] @ one).sum()
+
+    moves, later, more = np.zeros((k, k)), None, 0
+    for begin, end, lo, hi in reversed(blocks):
+        ahead, gamma, part, z = ahead_of[: hi - lo], gamma_of[: hi - lo], part_of[: hi - lo], hi - lo
+        emit.take(symbols[lo:hi], 0, ahead, "clip")  # emission times backward row
+        for t in range(end - 1, begin - 1, -1):
+            n = live[t]
+            now, z = ahead[z - n : z], z - n
+            if more:
+                np.multiply(now[:more], np.dot(later, back), now[:more])
+            if t % RESCALE == 0:
+                now /= np.dot(now, one)[:, None]
+            later, more = now, n
+        later = later.copy()
+        # a token's posterior is its predicted row times what is ahead of it
+        rows.take(before[lo:hi], 0, gamma, "clip")
+        np.dot(gamma, model.move, part)
+        if not begin:
+            part[: live[0]], gamma[: live[0]] = model.start, 0
+        part *= ahead
+        s = np.dot(part, square)
+        np.reciprocal(s, s)
+        part *= s
+        ahead *= s
+        moves += np.dot(gamma.T, ahead)
+        post[:, lo:hi] = part.T
+        if not begin:
+            into[:k] += part[: live[0]].sum(0)
+    into[k : k + k * k] += (model.move * moves).ravel()
+    base, tokens = k + k * k, np.zeros(width)
+    for j in range(k):
+        column = np.bincount(symbols, post[j], width)
+        into[base + j : base + width * k : k] += column
+        tokens += column
+    into[-1] += log + tokens @ np.log10(top)
 
 
 def improved(model: Model, counts: np.ndarray) -> Model:

@@ -2,6 +2,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -180,6 +181,52 @@ def test_forward_is_exact_and_baum_welch_never_loses():
     assert all(b >= a - 1e-9 for a, b in zip(likelihood, likelihood[1:], strict=False))
 
 
+@pytest.mark.parametrize(("steps", "rescale"), [(1, 1), (7, 3), (1 << 12, 8)])
+def test_expected_counts_equal_brute_force_in_blocks_of_any_size(monkeypatch, steps, rescale):
+    monkeypatch.setattr(hmm, "STEPS", steps)
+    monkeypatch.setattr(hmm, "RESCALE", rescale)
+    rng = np.random.default_rng(4)
+    k, width, lengths = 4, 12, [60, 1, 33, 33, 2, 1, 9]
+    emit, move = rng.random((width, k)) ** 40 + 1e-14, rng.random((k, k)) ** 40 + 1e-11  # next to impossible ones are among them
+    model = hmm.Model(np.full(k, 1 / k), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    bounds = np.concatenate(([0], np.cumsum(lengths)))
+    symbols = rng.integers(0, width, bounds[-1])
+    wanted, got = np.zeros(model.size), np.ones(model.size)
+    moves, emits = wanted[k : k + k * k].reshape(k, k), wanted[k + k * k : -1].reshape(width, k)
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        e = model.emit[symbols[lo:hi]]
+        rows, ahead = [model.start * e[0]], [np.ones(k)]
+        for x in e[1:]:
+            rows.append(rows[-1] / rows[-1].sum() @ model.move * x)
+        for x in e[:0:-1]:
+            ahead.append(model.move @ (x * ahead[-1] / ahead[-1].sum()))
+        ahead.reverse()
+        for t, (f, b) in enumerate(zip(rows, ahead, strict=True)):
+            emits[symbols[lo + t]] += f * b / (f @ b)
+            if t == 0:
+                wanted[:k] += f * b / (f @ b)
+            else:
+                both = rows[t - 1][:, None] * model.move * (e[t] * b)
+                moves += both / both.sum()
+            wanted[-1] += math.log10(f.sum())
+    hmm.expect(model, symbols, bounds, got)
+    assert np.allclose(got - 1, wanted, rtol=1e-9, atol=1e-9)
+
+
+def test_a_pass_needs_little_memory_beside_what_it_keeps():
+    """Fresh memory of a group, of some hundred bytes a token, cost passes more than their sums."""
+    rng = np.random.default_rng(5)
+    model = hmm.initial(rng.random(500) / 250)
+    bounds = np.arange(0, 60_001, 300)
+    symbols, into = rng.integers(0, 500, bounds[-1]), np.zeros(model.size)
+    hmm.expect(model, symbols, bounds, into)
+    tracemalloc.start()
+    hmm.expect(model, symbols, bounds, into)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * bounds[-1]
+
+
 def test_every_word_shares_one_distribution():
     """Symbols and other words together have probability one."""
     count, width = {w: 10 - w for w in range(10)}, 4
