@@ -38,6 +38,8 @@ TOKENS = 1 << 19
 HELD, GROUP = 1 << 23, 1 << 19
 #: Tokens of a block of steps, and the steps after which rows are scaled: in 8 of them doubles lose nothing, whatever a step takes away.
 STEPS, RESCALE = 1 << 12, 8
+#: Tokens whose posteriors are added up together.
+POSTERIORS = 1 << 16
 
 
 def training(doc_id: str = "doc_id") -> Column:
@@ -179,7 +181,7 @@ def _buffer(name: str, *shape: int) -> np.ndarray:
 def expect(model: Model, symbols: np.ndarray, bounds: np.ndarray, into: np.ndarray) -> None:
     """Adds the expected counts of starts, moves and emissions, and the log10 likelihood, to a vector.
 
-    Steps go in blocks that stay in a core's cache; of all tokens only forward rows and posteriors are held. Rows are scaled every
+    Steps go in blocks that stay in a core's cache; of all tokens only forward rows are held. Rows are scaled every
     `RESCALE` steps: each token's posterior is scaled by its own sum, so no other scale is needed.
     """
     total, k, width = len(symbols), len(model.start), len(model.emit)
@@ -199,7 +201,7 @@ def expect(model: Model, symbols: np.ndarray, bounds: np.ndarray, into: np.ndarr
         cuts.append(max(cuts[-1] + 1, int(np.searchsorted(first, first[cuts[-1]] + STEPS, "right")) - 1))
     blocks = list(zip(cuts[:-1], cuts[1:], first[cuts[:-1]].tolist(), first[cuts[1:]].tolist(), strict=True))
     most = max(hi - lo for *_, lo, hi in blocks)
-    rows, post = _buffer("rows", total, k), _buffer("post", k, total)
+    rows, post = _buffer("rows", total, k), _buffer("post", k, max(most, POSTERIORS))
     ahead_of, gamma_of, part_of = (_buffer(x, most, k) for x in ("ahead", "gamma", "part"))
     live, log, a = live.tolist(), 0.0, None
     for begin, end, lo, hi in blocks:
@@ -222,7 +224,15 @@ def expect(model: Model, symbols: np.ndarray, bounds: np.ndarray, into: np.ndarr
     last = np.repeat(first[1:] - np.cumsum(ended), ended) + np.arange(live[0])
     log += np.log10(rows[last] @ one).sum()
 
-    moves, later, more = np.zeros((k, k)), None, 0
+    tokens, emits = np.zeros(width), into[k + k * k : -1].reshape(width, k)
+
+    def emitted(lo: int, hi: int) -> None:
+        for j in range(k):
+            column = np.bincount(symbols[lo:hi], post[j, post.shape[1] - (hi - lo) :], width)
+            emits[:, j] += column
+            tokens[:] += column
+
+    moves, later, more, until = np.zeros((k, k)), None, 0, total
     for begin, end, lo, hi in reversed(blocks):
         ahead, gamma, part, z = ahead_of[: hi - lo], gamma_of[: hi - lo], part_of[: hi - lo], hi - lo
         emit.take(symbols[lo:hi], 0, ahead, "clip")  # emission times backward row
@@ -246,15 +256,14 @@ def expect(model: Model, symbols: np.ndarray, bounds: np.ndarray, into: np.ndarr
         part *= s
         ahead *= s
         moves += np.dot(gamma.T, ahead)
-        post[:, lo:hi] = part.T
+        if until - lo > post.shape[1]:
+            emitted(hi, until)
+            until = hi
+        post[:, post.shape[1] - (until - lo) : post.shape[1] - (until - hi)] = part.T
         if not begin:
             into[:k] += part[: live[0]].sum(0)
     into[k : k + k * k] += (model.move * moves).ravel()
-    base, tokens = k + k * k, np.zeros(width)
-    for j in range(k):
-        column = np.bincount(symbols, post[j], width)
-        into[base + j : base + width * k : k] += column
-        tokens += column
+    emitted(0, until)
     into[-1] += log + tokens @ np.log10(top)
 
 
@@ -388,6 +397,7 @@ def score_documents(documents: DataFrame, states: int = STATES, symbols: int = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        _buffers.clear()
         model, known, count, width = sent.value
         index = _index(known)
         worth = np.append(np.log10(count + 0.5), 0.0)

@@ -185,6 +185,7 @@ def test_forward_is_exact_and_baum_welch_never_loses():
 def test_expected_counts_equal_brute_force_in_blocks_of_any_size(monkeypatch, steps, rescale):
     monkeypatch.setattr(hmm, "STEPS", steps)
     monkeypatch.setattr(hmm, "RESCALE", rescale)
+    monkeypatch.setattr(hmm, "POSTERIORS", 20 * steps)
     rng = np.random.default_rng(4)
     k, width, lengths = 4, 12, [60, 1, 33, 33, 2, 1, 9]
     emit, move = rng.random((width, k)) ** 40 + 1e-14, rng.random((k, k)) ** 40 + 1e-11  # next to impossible ones are among them
